@@ -6,21 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import op06_simhash, op10_secrets
-from quernstone.llm._common import table
+from quernstone.llm import op01_sharding, op06_simhash, op08_packing, op10_secrets
+from quernstone.llm._common import scratch_path, table
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_sharding.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_sharding": """
+        SELECT doc_id, lang, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+        FROM documents
+    """,
+}
