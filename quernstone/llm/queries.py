@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import op01_sharding, op06_simhash, op08_packing, op10_secrets
+from quernstone.llm import op01_sharding, op06_simhash, op08_packing, op09_fingerprints, op10_secrets
 from quernstone.llm._common import scratch_path, table
 
 
@@ -14,6 +14,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_secret_scan": op10_secret_scan,
 }
 
