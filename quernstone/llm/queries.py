@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import op01_sharding, op06_simhash, op08_packing, op09_fingerprints, op10_secrets
+from quernstone.llm import op01_sharding, op05_decontaminate, op06_simhash, op08_packing, op09_fingerprints, op10_secrets
 from quernstone.llm._common import scratch_path, table
 
 
@@ -26,12 +26,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_sharding.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
