@@ -148,3 +148,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * power[: len(data)] + power[: len(data)], out=prefix[1:])
         return mix64((prefix[ends] - prefix[starts]) * inverse[starts])
+
+
+# ---------------------------------------------------------------- labelled rows
+
+#: Labelled rows that a classifier is fitted on at most.
+SAMPLE = 20_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
+    """(text, label) of up to `most` labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0), written to the shared folder.
+
+    The rows are those of the smallest xxhash64 of doc_id, so the choice does not depend on order or content.
+    A doc_id with several labels has the largest; one with several texts, any; NULL ids and labels are left out.
+    """
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label is not null")
+    known = known.groupBy("__id").agg(F.max("label").alias("label")).where(~held_out("__id", 5, 0))
+    known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    return materialise(rows.dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "label"), f"sample-{label}")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients of a ridge logistic regression of y on the columns of x, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    weight = np.ones(len(y)) if weight is None else weight
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) / len(y) + ridge * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

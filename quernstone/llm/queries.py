@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import op01_sharding, op05_decontaminate, op06_simhash, op08_packing, op09_fingerprints, op10_secrets
+from quernstone.llm import op01_sharding, op02_toxicity, op05_decontaminate, op06_simhash, op08_packing, op09_fingerprints, op10_secrets
 from quernstone.llm._common import scratch_path, table
 
 
@@ -26,6 +26,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_sharding.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
