@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import op01_sharding, op02_toxicity, op05_decontaminate, op06_simhash, op08_packing, op09_fingerprints, op10_secrets
+from quernstone.llm import op01_sharding, op02_toxicity, op05_decontaminate, op06_simhash, op07_langid, op08_packing, op09_fingerprints, op10_secrets
 from quernstone.llm._common import scratch_path, table
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_secret_scan": op10_secret_scan,
