@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import op01_sharding, op02_toxicity, op03_quality, op05_decontaminate, op06_simhash, op07_langid, op08_packing, op09_fingerprints, op10_secrets
+from quernstone.llm import op01_sharding, op02_toxicity, op03_quality, op04_html, op05_decontaminate, op06_simhash, op07_langid, op08_packing, op09_fingerprints, op10_secrets
 from quernstone.llm._common import scratch_path, table
 
 
@@ -38,6 +38,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
