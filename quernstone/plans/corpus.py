@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quernstone import lexicon
 from quernstone.functions import text as X
-from quernstone.functions.udfs import greedy_dedup_udf
 from quernstone.operators import extract as E
 from quernstone.operators import quality as Q
 from quernstone.operators import structuring
@@ -236,8 +235,7 @@ def fuzzy_dedup(spark, sf_dir):
     """Each paper's keywords by falling score, without those too like a kept one."""
     items = F.array_sort(F.collect_list(F.struct("score", "keyword")))
     per = A.paper_keywords(spark, sf_dir).groupBy("paper_id").agg(F.transform(items, lambda x: F.struct(x["keyword"].alias("keyword"), x["score"].alias("score"))).alias("items"))
-    kept = per.select("paper_id", F.explode(greedy_dedup_udf("items")).alias("k"))
-    return kept.select("paper_id", "k.keyword", "k.score")
+    return E.deduplicated(per)
 
 
 def _documents(spark, sf_dir):

@@ -27,7 +27,7 @@ def point(df: DataFrame, **key) -> DataFrame:
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """The venue registry with aliases as an array of trimmed, non-empty names."""
     rows = spark.read.schema(REGISTRY_CSV).csv(path, header=True, quote='"')
-    return rows.withColumn("aliases", F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), ","), F.trim), lambda a: a != ""))
+    return rows.withColumn("aliases", F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def landing(spark: SparkSession, path: str) -> DataFrame:
