@@ -222,12 +222,13 @@ def keyword_acceptance(spark, sf_dir):
 # ------------------------------------------------------------ extraction
 
 
-@query("SELECT doc_id AS raw_id, string_split(split_part(text, chr(10), 1), ' ') AS w, split_part(text, chr(10), 1) AS abstract FROM documents".replace(", string_split(split_part(text, chr(10), 1), ' ') AS w", ""))
+@query("SELECT doc_id AS raw_id, split_part(text, chr(10), 1) AS abstract FROM documents")
 def inverted_index_abstract(spark, sf_dir):
     """Each first line as an inverted index, and back."""
-    rows = A.raw_papers(spark, sf_dir).select("raw_id", F.split("title", " ").alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.filter(F.transform(F.col("w"), lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()))))
-    return rows.select("raw_id", E.abstract_of(index).alias("abstract"))
+    words = A.raw_papers(spark, sf_dir).select("raw_id", F.posexplode(F.split("title", " ")).alias("p", "w"))
+    places = words.groupBy("raw_id", "w").agg(F.collect_list("p").alias("ps"))
+    index = places.groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return index.select("raw_id", E.abstract_of(F.col("index")).alias("abstract"))
 
 
 @query()

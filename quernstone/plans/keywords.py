@@ -75,7 +75,7 @@ def venue_list(spark, sf_dir):
 _RANKS = "row_number() OVER (PARTITION BY venue, year ORDER BY count(*) DESC, keyword) AS rank"
 
 
-@query(f"""WITH {SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS c, {_RANKS} FROM kp GROUP BY ALL),
+@query(f"""WITH {SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS c, {_RANKS} FROM kp GROUP BY venue, year, keyword),
     t AS (SELECT venue, year, string_agg(keyword || ':' || c, '|' ORDER BY rank) AS top_keywords FROM r WHERE rank <= 10 GROUP BY ALL)
     SELECT venue, year, n AS papers, top_keywords FROM (SELECT venue, year, count(*) AS n FROM papers GROUP BY ALL) LEFT JOIN t USING (venue, year)""")
 def venue_detail(spark, sf_dir):
@@ -85,19 +85,19 @@ def venue_detail(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_KP}, r AS (SELECT venue, keyword, count(*) AS count, CAST(row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS INTEGER) AS rank
-    FROM kp WHERE year = (SELECT max(year) FROM papers) GROUP BY ALL) SELECT * FROM r WHERE rank <= 10""")
+    FROM kp WHERE year = (SELECT max(year) FROM papers) GROUP BY venue, keyword) SELECT * FROM r WHERE rank <= 10""")
 def venue_comparison(spark, sf_dir):
     latest = A.papers(spark, sf_dir).agg(F.max("year").alias("year"))
     return K.ranked(K.counts(_rows(spark, sf_dir).join(F.broadcast(latest), "year", "left_semi"), "venue"), ["venue"], 10)
 
 
-@query(f"WITH {SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS count, CAST({_RANKS.replace(' AS rank', '')} AS INTEGER) AS rank FROM kp GROUP BY ALL) SELECT * FROM r WHERE rank <= 50")
+@query(f"WITH {SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS count, CAST({_RANKS.replace(' AS rank', '')} AS INTEGER) AS rank FROM kp GROUP BY venue, year, keyword) SELECT * FROM r WHERE rank <= 50")
 def venue_rank_by_year(spark, sf_dir):
     return K.ranked(K.counts(_rows(spark, sf_dir), "venue", "year"), ["venue", "year"], 50)
 
 
-_GRID = f"""{SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS count, {_RANKS} FROM kp GROUP BY ALL),
-    y AS (SELECT * FROM r WHERE rank <= 100), s AS (SELECT venue, keyword, row_number() OVER (PARTITION BY venue ORDER BY sum(count) DESC, keyword) AS n FROM y GROUP BY ALL),
+_GRID = f"""{SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS count, {_RANKS} FROM kp GROUP BY venue, year, keyword),
+    y AS (SELECT * FROM r WHERE rank <= 100), s AS (SELECT venue, keyword, row_number() OVER (PARTITION BY venue ORDER BY sum(count) DESC, keyword) AS n FROM y GROUP BY venue, keyword),
     g AS (SELECT venue, keyword, year FROM (SELECT venue, keyword FROM s WHERE n <= 20) JOIN (SELECT DISTINCT venue, year FROM kp) USING (venue))"""
 
 
@@ -143,7 +143,7 @@ def venue_rollup(spark, sf_dir):
     return papers.join(keywords, ["venue", "year"], "left")
 
 
-@query(f"""WITH {SQL_KP}, r AS (SELECT venue, keyword, count(*) AS c, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS rank FROM kp GROUP BY ALL)
+@query(f"""WITH {SQL_KP}, r AS (SELECT venue, keyword, count(*) AS c, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS rank FROM kp GROUP BY venue, keyword)
     SELECT venue, CAST(0 AS INTEGER) AS year, n AS paper_count, string_agg(keyword || ':' || c, '|' ORDER BY rank) AS top_keywords
     FROM (SELECT venue, count(*) AS n FROM papers GROUP BY venue) JOIN r USING (venue) WHERE rank <= 20 GROUP BY ALL""")
 def venue_summary(spark, sf_dir):
@@ -152,7 +152,7 @@ def venue_summary(spark, sf_dir):
     return papers.join(top, "venue").select("venue", F.lit(0).alias("year"), "paper_count", "top_keywords")
 
 
-@query(f"""WITH {SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS c, {_RANKS} FROM kp GROUP BY ALL)
+@query(f"""WITH {SQL_KP}, r AS (SELECT venue, year, keyword, count(*) AS c, {_RANKS} FROM kp GROUP BY venue, year, keyword)
     SELECT venue, sum(c)::BIGINT AS paper_count, string_agg(DISTINCT keyword, '|' ORDER BY keyword) AS keywords FROM r WHERE rank <= 10 GROUP BY venue""")
 def client_venue_overview(spark, sf_dir):
     """As the static client has it: a venue's paper count is the sum of its yearly lists' keyword counts."""
@@ -229,7 +229,7 @@ def delete_by_method(spark, sf_dir):
     return per.join(F.broadcast(total)).select("method", (F.col("all") - F.col("rows_gone")).alias("rows_left"), "rows_gone")
 
 
-@query(f"""WITH {SQL_KP}, r AS (SELECT venue, keyword, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS rank FROM kp GROUP BY ALL)
+@query(f"""WITH {SQL_KP}, r AS (SELECT venue, keyword, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS rank FROM kp GROUP BY venue, keyword)
     SELECT venue, '[' || string_agg('"' || keyword || '"', ',' ORDER BY rank) || ']' AS json FROM r WHERE rank <= 10 GROUP BY venue""")
 def export_keywords_index(spark, sf_dir):
     return export.keywords_index(K.ranked(K.counts(_rows(spark, sf_dir), "venue"), ["venue"], 10))

@@ -39,7 +39,7 @@ def timeseries_counts(spark, sf_dir):
 
 
 @query(f"""WITH {_BUCKETED}, r AS (SELECT category, granularity, bucket, keyword, count(*) AS c, row_number() OVER (PARTITION BY category, granularity, bucket ORDER BY count(*) DESC, keyword) AS rank
-    FROM b WHERE keyword IS NOT NULL GROUP BY ALL) SELECT category, granularity, bucket, string_agg(keyword || ':' || c, '|' ORDER BY rank) AS top_keywords FROM r WHERE rank <= 10 GROUP BY ALL""")
+    FROM b WHERE keyword IS NOT NULL GROUP BY category, granularity, bucket, keyword) SELECT category, granularity, bucket, string_agg(keyword || ':' || c, '|' ORDER BY rank) AS top_keywords FROM r WHERE rank <= 10 GROUP BY ALL""")
 def timeseries_top_keywords(spark, sf_dir):
     by = ["category", "granularity", "bucket"]
     return K.listed(K.ranked(S.keyword_counts(S.bucketed(A.events(spark, sf_dir).select("ts", "category", "keyword"))), by, 10), by)
@@ -75,7 +75,7 @@ def emerging_topics_default(spark, sf_dir):
     return S.emerging_topics(_weekly(spark, sf_dir))
 
 
-_SETS = f"""{SQL_KP}, r AS (SELECT venue AS category, keyword, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS n FROM kp GROUP BY ALL), s AS (SELECT category, keyword FROM r WHERE n <= 40),
+_SETS = f"""{SQL_KP}, r AS (SELECT venue AS category, keyword, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS n FROM kp GROUP BY venue, keyword), s AS (SELECT category, keyword FROM r WHERE n <= 40),
     u AS (SELECT keyword, count(*) AS n, min(category) AS category FROM s GROUP BY keyword)"""
 
 
