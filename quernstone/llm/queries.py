@@ -63,9 +63,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
+def _secrets_sql() -> str:
+    """Positions come from the pieces between the matches; hex runs of 16 or more are the same as runs that are then found long enough."""
+    parts = []
+    for order, rule in enumerate(op10_secrets.RULES):
+        pattern = (rule.pattern if rule.kind != "hex" else "[0-9a-f]{16,}").replace("\\x20", " ").replace("'", "''")
+        parts.append(f"SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, {rule.min_length} AS least, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS b FROM d WHERE regexp_matches(t, '{pattern}')")
+    count = ", ".join(f"count(*) FILTER (kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in op10_secrets.BASE_RULES)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+        x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+        s AS (SELECT doc_id, kind, ord, least, len(g[i]) AS n, list_sum(list_transform(b[1:i], lambda z: len(z)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: len(z))), 0)::BIGINT AS a, len(m[i])::BIGINT AS k FROM x),
+        f AS (SELECT doc_id, kind, ord, a, kind || ':' || a || ':' || (a + k) AS said FROM s WHERE n >= least),
+        o AS (SELECT doc_id, {count}, string_agg(said, ',' ORDER BY a, ord) FILTER (ord < {len(op10_secrets.BASE_RULES)}) AS base, string_agg(said, ',' ORDER BY a, ord) AS spans FROM f GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (doc_id)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_sharding": """
         SELECT doc_id, lang, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
         FROM documents
     """,
+    "op10_secret_scan": _secrets_sql(),
 }
