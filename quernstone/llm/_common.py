@@ -156,6 +156,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 SAMPLE = 20_000
 
 
+def first_by_hash(rows: DataFrame, id_col: str, most: int, n: int) -> DataFrame:
+    """The `most` of about n rows with the smallest hash of their id.
+
+    Only rows below a hash that half as many again are expected under reach the task that orders them; else each
+    partition would send it `most` rows.
+    """
+    h = F.xxhash64(id_col)
+    if n > 2 * most:
+        rows = rows.where(h < F.lit(-(2**63) + int(2**64 * 1.5 * most / n)))
+    return rows.orderBy(h, id_col).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
     """(text, label) of up to `most` labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0), written to the shared folder.
 
@@ -164,7 +176,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label is not null")
     known = known.groupBy("__id").agg(F.max("label").alias("label")).where(~held_out("__id", 5, 0))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
+    known = first_by_hash(known, "__id", most, labels.count())
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     return materialise(rows.dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "label"), f"sample-{label}")
 
