@@ -194,11 +194,33 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def stars(found: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """Links [n, 2] from each row that `found` connects to others to the one of the smallest fingerprint among them.
+
+    Buckets that share most of a family then name the same root, so their links are the same and few.
+    """
+    order = np.lexsort(lanes.T[::-1])
+    rank = np.empty(len(lanes), np.int64)
+    rank[order] = np.arange(len(lanes))
+    label = rank.copy()
+    i, j = found[:, 0], found[:, 1]
+    while True:
+        new, least = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[order[new]])
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != rank)
+    return np.stack([moved, order[label[moved]]], axis=1)
+
+
 def cell_links(cells: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
     """Links [n, 2] of row numbers, of sorted rows: cells [n, k] names each row's cell.
 
     Small cells are compared all in one go: the planes hold the differences of their pairs, 64 to a word.
-    Larger cells give a spanning forest each.
+    Larger cells give a spanning forest each. What is connected within a cell is returned as a star.
     """
     n = len(cells)
     same = (cells[1:] == cells[:-1]).all(1) if n > 1 else np.zeros(0, bool)
@@ -221,7 +243,7 @@ def cell_links(cells: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
     for c in np.flatnonzero(size > _SMALL):
         found = np.array(forest(lanes[cut[c] : cut[c + 1]], radius), np.int64).reshape(-1, 2)
         out.append(found + cut[c])
-    return np.concatenate(out)
+    return stars(np.concatenate(out), lanes)
 
 
 def links(nodes: DataFrame, masks: list[tuple[int, ...]], radius: int, cell: int = CELL) -> DataFrame:
