@@ -1,12 +1,13 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-A fingerprint has one or more 64-bit lanes. Distinct fingerprints meet in buckets: either every way of
-keeping some blocks of bits whole (no pair within the radius is lost), or repeated samples of bits (for
-larger radii, to a stated recall). Within a bucket fingerprints are compared by bit planes: plane p
+A fingerprint has one or more 64-bit lanes. Distinct fingerprints meet in buckets: every way of
+keeping some blocks of bits whole, so that no pair within the radius is lost. Within a bucket fingerprints are compared by bit planes: plane p
 holds bit p of 64 fingerprints in each word, carry-save counters add the differing planes of a query to
 64 distances at once, and a block is left as soon as all its distances exceed the radius. Each bucket
 returns a spanning forest of its links, never all pairs; components are joined across buckets.
 
+The pipeline's stage links by exact Jaccard similarity instead, among candidates that share a band of least hashes.
+
 Defined results: a NULL or wordless text has fingerprint zero and links like any other; a NULL doc_id
 gets its component like other rows, but never names one unless all are NULL; repeated rows share a
 component; an empty table gives an empty result; other columns are ignored.
@@ -20,8 +21,9 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quernstone.llm._common import materialise, text_bytes
+from quernstone.llm._common import chunks, materialise, mix64, span_hashes, text_bytes, word_spans
 from quernstone.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -180,16 +182,6 @@ def intact_masks(radius: int, bits: int = 64, key_blocks: int = 2) -> list[tuple
     return masks
 
 
-def sampled_masks(bits: int, width: int, tables: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """`tables` masks of `width` random bits: a pair at distance d shares one with probability 1 - (1 - (1 - d/bits)^width)^tables."""
-    rng = np.random.default_rng(seed)
-    masks = []
-    for _ in range(tables):
-        whole = sum(1 << int(b) for b in rng.choice(bits, width, replace=False))
-        masks.append(tuple((whole >> 64 * i) & (2**64 - 1) for i in range(bits // 64)))
-    return masks
-
-
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -315,19 +307,232 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("lane0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For stages: five-word shingles, two lanes, and the radius at which the expected Jaccard similarity is 0.8:
-#: cos(pi d / 128) = 2 s / (1 + s) gives 19.4 for s = 0.8, to which one deviation (4) of d is added for recall.
-STAGE_SHINGLE, STAGE_SEEDS, STAGE_RADIUS, STAGE_WIDTH, STAGE_TABLES = 5, (42, 43), 23, 18, 48
+# ---------------------------------------------------------------- the pipeline's stage
+
+#: For stages: sets of five-word shingles, linked at a Jaccard similarity of SIMILARITY in hundredths or more. Candidates share a
+#: band of STAGE_ROWS least hashes; a pair at 0.8 shares none of STAGE_BANDS bands with probability (1 - 0.8^5)^24 = 7e-5.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BANDS, STAGE_ROWS = 5, 80, 24, 5
+#: Least hashes of STAGE_BANDS * STAGE_ROWS that agree in pairs worth an exact test; at 0.8 fewer do with probability 1e-6.
+STAGE_AGREE = 74
+#: Rounds that try one member of each bucket against the others, before all pairs that no link connects are tried.
+STAR_ROUNDS = 2
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = STAGE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each row's distinct shingles, sorted; words as in the fingerprints, fewer words make one shingle."""
+    start, end, row = word_spans(data, offsets)
+    h = span_hashes(data, start, end)
+    n = len(offsets) - 1
+    begin = np.searchsorted(row, np.arange(n + 1))
+    count = np.diff(begin)
+    odd = mix64(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+    at = np.arange(len(h))
+    left = begin[1:][row] - at  # words of the row from here on
+    first = np.flatnonzero((left >= words) | (at == begin[:-1][row]) & (count[row] < words))
+    found = np.zeros(len(first), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            here = left[first] > k
+            found[here] += h[first[here] + k] * odd[k]
+    found, of = mix64(found), row[first]
+    order = np.lexsort((found, of))
+    found, of = found[order], of[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    return of[new], found[new]
+
+
+def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS) -> DataFrame:
+    """(doc_id, node, size, bands, least, text): a hash and the size of each text's set of shingles, the keys of its bands (none of a wordless
+    text) and a byte of each least hash."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rng = np.random.default_rng(11)
+    salts, factors = rng.integers(1, 2**63, (2, bands * rows)).astype(np.uint64)
+    factors |= np.uint64(1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.num_rows
+            data, offsets = text_bytes(batch.column(1))
+            node, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+            keys, least = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint8)
+            for a, b in chunks(offsets):
+                of, h = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(h):
+                    continue
+                some, first = np.unique(of, return_index=True)
+                size[a + some] = np.diff(np.append(first, len(of)))
+                with np.errstate(over="ignore"):
+                    node[a + some] = mix64(np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first))
+                    for t in range(bands):
+                        key = np.full(len(some), t + 1, np.uint64)
+                        for j in range(t * rows, (t + 1) * rows):
+                            low = np.minimum.reduceat((h ^ salts[j]) * factors[j], first)
+                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low)
+                            least[a + some, j] = mix64(low) & np.uint64(255)
+                        keys[a + some, t] = key
+            full = size > 0
+            ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(size), lists, pa.array([x.tobytes() for x in least]), batch.column(1)], names=["doc_id", "node", "size", "bands", "least", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, size bigint, bands array<bigint>, least binary, text string")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
+    """The (a, b) of `pairs` whose texts' sets of shingles have a Jaccard similarity of `similarity` hundredths or more; texts: (node, text)."""
+    both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in chunks(x[1] + y[1]):
+                sets = [shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for data, offsets in (x, y)]
+                of, h = (np.concatenate(c) for c in zip(*sets))
+                order = np.lexsort((h, of))
+                of, h = of[order], h[order]
+                common = np.bincount(of[1:][(h[1:] == h[:-1]) & (of[1:] == of[:-1])], minlength=b - a)
+                either = np.bincount(of, minlength=b - a) - common
+                keep[a:b] = 100 * common >= similarity * either
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def cell_forest(root: np.ndarray, least: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: int, agree: int) -> list[tuple[int, int]]:
+    """Links (i, j) of rows at the similarity that connect what all such links connect, given that rows of one root are connected."""
+    n, label = len(root), np.unique(root, return_inverse=True)[1]
+    parts = [(a + of, h) for a, b in chunks(offsets) for of, h in [shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]]
+    of, h = (np.concatenate(c) for c in zip(*parts))
+    names, h = np.unique(h, return_inverse=True)
+    begin = np.searchsorted(of, np.arange(n + 1))
+    size, mark, links = np.diff(begin), np.zeros(len(names), bool), []
+    for i in range(n - 1):
+        other = size[i + 1 :]
+        # The smaller of two sets this similar has at least this share of the larger's shingles.
+        fit = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(other, size[i]) >= similarity * np.maximum(other, size[i])))
+        fit = fit[np.count_nonzero(least[fit] == least[i], axis=1) >= agree] if len(fit) else fit
+        if not len(fit):
+            continue
+        mark[h[begin[i] : begin[i + 1]]] = True
+        ends = np.cumsum(size[fit])
+        where = np.arange(ends[-1]) + np.repeat(begin[fit] - (ends - size[fit]), size[fit])
+        common = np.add.reduceat(mark[h[where]].astype(np.int64), ends - size[fit])
+        mark[h[begin[i] : begin[i + 1]]] = False
+        for j in fit[100 * common >= similarity * (size[i] + size[fit] - common)].tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, agree: int = STAGE_AGREE, cell: int = CELL) -> DataFrame:
+    """(a, b): links at the similarity that connect what each key's rows (key, node, root, least, text) have; sizes: (key, members).
+
+    A key of over `cell` rows is split by hash into parts that meet pair by pair, as the buckets of fingerprints are.
+    """
+    parts = F.ceil(F.col("members") / F.lit(cell)).cast("int")
+    split = named.join(sizes, "key").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    part = F.least("mine", "other").cast("bigint") * F.lit(1 << 20) + F.greatest("mine", "other")
+    cells = split.select("key", part.alias("part"), "node", "root", "least", "text").repartition("key", "part").sortWithinPartitions("key", "part")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def emit(table):
+            if not table.num_rows:
+                return
+            key, of, node, root = (table.column(c).to_numpy() for c in range(4))
+            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (of[1:] != of[:-1])) + 1, [len(key)]])
+            for a, b in itertools.pairwise(cut.tolist()):
+                if (root[a:b] == root[a]).all():
+                    continue
+                least = np.frombuffer(b"".join(table.column(4).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
+                found = cell_forest(root[a:b], least, *text_bytes(table.column(5).slice(a, b - a)), similarity, agree)
+                if found:
+                    i, j = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a + i]), pa.array(node[a + j])], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            key, of = (held.column(c).to_numpy() for c in range(2))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (of[1:] != of[:-1])) + 1
+            if len(cut):
+                yield from emit(held.slice(0, int(cut[-1])))
+                held = held.slice(int(cut[-1])).combine_chunks()
+        if held is not None:
+            yield from emit(held)
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(rows: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
+    """(node, root) of all nodes that links at the similarity connect to others; rows: sketches. Every pair that shares a band and may be
+    similar is tried by its exact similarity, unless links connect it already."""
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
+
+    def crowded(batches):
+        """Rows of keys with several nodes."""
+        import pyarrow as pa
+
+        last = None  # a row not yet known to share its key
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+            fresh = np.ones(len(new), bool)
+            if last is not None:
+                new, fresh = np.concatenate([last[0], new]), np.concatenate([last[1], fresh])
+            if not len(new):
+                continue
+            same = new[1:, 0] == new[:-1, 0]
+            keep = fresh & (np.append(same, False) | np.append(False, same))
+            last = new[-1:], (fresh & ~keep)[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(new[keep, c])) for c in range(3)], names=["key", "node", "size"])
+
+    members = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(crowded, "key bigint, node bigint, size bigint")
+    members = materialise(members, "stage-members")
+    wanted = rows.select("node", "least", "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = wanted.groupBy("node").agg(F.first("least").alias("least"), F.first("text").alias("text"))
+    texts = materialise(texts, "stage-texts")
+    # The smaller of two sets this similar has at least this share of the larger's shingles.
+    sizes = 100 * F.least("n", "size") >= similarity * F.greatest("n", "size")
+    found = roots = None
+    for turn in range(STAR_ROUNDS + 1):
+        named = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if roots is not None:
+            apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+            named = named.join(apart.select("key"), "key", "left_semi")
+        if turn < STAR_ROUNDS:
+            # One member of each bucket, mostly the same one in all buckets of a family, against those of other roots.
+            hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("size").alias("n"), F.col("root").alias("r"))).over(Window.partitionBy("key"))
+            pairs = named.withColumn("hub", hub).select("hub.a", "hub.n", "hub.r", F.col("node").alias("b"), "size", "root")
+            pairs = pairs.where("r <> root").where(sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            new = alike(pairs, texts, similarity)
+        else:
+            new = bucket_links(named.join(texts, "node"), apart.select("key", "members"), similarity)
+        new = materialise(new, "stage-links")
+        found = new if found is None else found.unionByName(new)
+        roots = materialise(components(found), "stage-roots")
+    return roots
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row, that of the smallest id, of each group of near-duplicates at similarity 0.8 or more.
+    """docs with one row, that of the smallest id, of each group of near-duplicates: what links at similarity 0.8 or more connect.
 
-    Rows with a NULL id stay, as nothing can name them; of rows that share an id one stays.
+    Texts without a word are one group. Rows with a NULL id stay, as nothing can name them; of rows that share an id one stays.
     """
-    prints = materialise(fingerprints(docs.select("doc_id", "text"), words=STAGE_SHINGLE, seeds=STAGE_SEEDS), "stage-prints")
-    found = classes(prints, sampled_masks(128, STAGE_WIDTH, STAGE_TABLES), STAGE_RADIUS)
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone"))
+    rows = materialise(sketches(docs), "stage-sketches")
+    ids = rows.where("doc_id is not null").select("doc_id", "node").join(similar(rows), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_id = ids.join(least, "root").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone"))
     odd = materialise(by_id.where("gone or n > 1"), "stage-odd")
     once = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
     again = docs.join(odd.where("not gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -269,6 +269,50 @@ def test_one_of_each_group_stays(spark, docs):
     assert 6 in ids and 7 not in ids and ids.count(6) == 1 and kept.where("doc_id is null").count() == 1 and 8 in ids
 
 
+def five_word_sets(t):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    """Families on both sides of 0.8, and one beyond a cell, against all pairs."""
+    r, texts = random.Random(6), []
+    for family in range(60):
+        base = prose(r.choice([7, 40, 150, 400]), 5000 + family).split()
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 25)):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [five_word_sets(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    share = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i) if i // 5 == j // 5]
+    assert sum(0.8 <= s < 0.9 for s in share) > 20 and sum(0.65 <= s < 0.8 for s in share) > 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = {i for i, x in enumerate(roots(len(sets), near)) if x == i}
+    assert {x["doc_id"] for x in op06_simhash.keep_one(df).collect()} == want
+
+
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_links_of_a_bucket_connect_as_all_pairs_do(spark, cell):
+    r, base = random.Random(9), prose(200, 77).split()
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(r.randrange(2, 5)):
+            w[r.randrange(200)] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [five_word_sets(t) for t in texts]
+    want = roots(40, [(i, j) for i in range(40) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])])
+    rows = op06_simhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).cache()
+    node = {x["node"]: x["doc_id"] for x in rows.collect()}
+    named = rows.select(F.lit(1).alias("key"), "node", F.col("node").alias("root"), "least", "text")
+    sizes = spark.createDataFrame([(1, 40)], "key int, members bigint")
+    links = op06_simhash.bucket_links(named.withColumn("key", F.col("key").cast("bigint")), sizes.withColumn("key", F.col("key").cast("bigint")), 80, cell=cell).collect()
+    got = roots(40, [(node[x["a"]], node[x["b"]]) for x in links])
+    assert 1 < len(set(want)) < 40 and got == want
+
+
 # ------------------------------------------------------------ 7
 
 
