@@ -1,13 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination: intact pieces of items, looked up at every word, and exact edit verification.
 
-Texts are words: runs of letters and digits, ASCII case folded, hashed. The CGK random walk maps edit
-distance to Hamming distance: at step j it emits the word under its pointer, and moves on or stays by bit j of
-that word's random bits, so that two walks over texts a few edits apart fall in step again. A table
-of the LSH draws a walk and a few of its steps; windows whose words at these steps agree are candidates.
-Windows are item-sized: an item of m words uses windows of W words, the largest power of two with
-1.5 W - 1 <= m, that start at every W/2-th word of a document; the item is indexed from every offset, so that
-some window of an item's copy always starts where an indexed one does. A candidate is verified by the
-exact word edit distance of the item to the best span around it.
+Texts are words: runs of letters and digits, ASCII case folded, hashed. An item of m words that may be edited k times
+is cut into k + 1 pieces of about m / (k + 1) words. k edits leave one piece whole, so that every span of a document within k
+edits of the item has a piece of it word by word: none is lost, whatever the length and the kind of edits.
+A candidate is verified by the exact word edit distance of the item to the best span around it.
 
 A document leaks an item if some span of it is within floor((1 - similarity) m) word edits of the item.
 
@@ -17,6 +13,8 @@ doc_id or item_id is carried as such; empty tables give an empty result; other c
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +22,6 @@ from pyspark.sql import functions as F
 from quernstone.llm._common import PUNCT, chunks, mix64, span_hashes, text_bytes, word_spans
 
 SIMILARITY = 0.8
-#: Tables and steps of each: recall against brute force is tested to be 0.95 at least on items with up to 20 % of edited words.
-TABLES, SAMPLED = 8, 4
 #: Items that one pass over the documents takes; more go in further passes.
 BLOCK_ITEMS = 20_000
 _BITS, _CLASSES = 1 << 20, 1 << 10
@@ -37,21 +33,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hashes(data, start, end), row
 
 
-def window_size(m: int) -> int:
-    w = 1
-    while 3 * w - 1 <= m:
-        w *= 2
-    return w
-
-
-def walk(words: np.ndarray, bits: np.ndarray, start: np.ndarray, steps: int, sampled: set[int]) -> np.ndarray:
-    """A key of the CGK embedding from each start: the words that it emits at the sampled steps. words and bits are padded by `steps`."""
-    at, key = start.copy(), np.zeros(len(start), np.uint64)
+def span_keys(words: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A key of the `length` words from each start."""
+    key = np.zeros(len(start), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(steps):
-            if j in sampled:
-                key = key * np.uint64(0x9E3779B97F4A7C15) + words[at]
-            at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).view(np.int64)
+        for j in range(length):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + words[start + j]
     return mix64(key)
 
 
@@ -70,9 +57,9 @@ def edit_distance(item: np.ndarray, region: np.ndarray, most: int) -> int:
 
 
 class Index:
-    """LSH tables over a block of items; it is sent to the executors as a whole."""
+    """Pieces of a block of items by their length in words; it is sent to the executors as a whole."""
 
-    def __init__(self, texts: list[str], similarity: float = SIMILARITY, tables: int = TABLES, sampled: int = SAMPLED, seed: int = 5):
+    def __init__(self, texts: list[str], similarity: float = SIMILARITY):
         self.items, self.most = [], []
         for t in texts:
             data = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -83,60 +70,58 @@ class Index:
         for i, words in enumerate(self.items):
             self.has[i, words & np.uint64(_CLASSES - 1)] = True
         self.allowed = np.array(self.most, np.int64)
-        rng = np.random.default_rng(seed)
-        self.seeds = rng.integers(1, 2**63, tables).astype(np.uint64)
-        self.classes: dict[int, list] = {}
-        sizes = {window_size(len(w)) for w in self.items if len(w)}
-        for size in sorted(sizes):
-            of = [i for i, w in enumerate(self.items) if len(w) and window_size(len(w)) == size]
-            steps, per_table = max(1, 3 * size // 2), []
-            for t in range(tables):
-                kept = set(rng.choice(steps, min(sampled, steps), replace=False).tolist())
-                keys, owner, offset = [], [], []
-                for i in of:
-                    words = np.concatenate([self.items[i], np.zeros(steps + 1, np.uint64)])
-                    start = np.arange(len(self.items[i]) - size + 1)
-                    keys.append(walk(words, mix64(words ^ self.seeds[t]), start, steps, kept))
-                    owner.append(np.full(len(start), i))
-                    offset.append(start)
-                keys, owner, offset = map(np.concatenate, (keys, owner, offset))
-                order = np.argsort(keys, kind="stable")
-                there = np.zeros(_BITS, bool)
-                there[keys & np.uint64(_BITS - 1)] = True
-                per_table.append((kept, keys[order], owner[order], offset[order], there))
-            self.classes[size] = per_table
+        self.length = np.array([len(w) for w in self.items], np.int64)
+        found: dict[int, list] = {}
+        for i, words in enumerate(self.items):
+            pieces = min(self.most[i] + 1, len(words))
+            cuts = [len(words) * p // pieces for p in range(pieces + 1)] if pieces else []
+            for a, b in itertools.pairwise(cuts):
+                found.setdefault(b - a, []).append((i, a))
+        self.pieces = {}
+        for length, at in sorted(found.items()):
+            owner, offset = np.array(at, np.int64).T
+            begin = np.concatenate([[0], np.cumsum(self.length)])
+            keys = span_keys(np.concatenate(self.items), begin[owner] + offset, length)
+            order = np.argsort(keys, kind="stable")
+            there = np.zeros(_BITS, bool)
+            there[keys & np.uint64(_BITS - 1)] = True
+            self.pieces[length] = keys[order], owner[order], offset[order], there
 
     def candidates(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Distinct (row, item, first): a copy of the item may begin about the row's word `first`."""
-        first = np.searchsorted(row, row, "left")
-        place = np.arange(len(words)) - first
-        longest = max(max(1, 3 * size // 2) for size in self.classes) + 1
-        padded = np.concatenate([words, np.zeros(longest, np.uint64)])
-        folded = (padded & np.uint64(_CLASSES - 1)).astype(np.int64)
-        starts = {size: np.flatnonzero(place % max(1, size // 2) == 0) for size in self.classes}
-        found = []
-        for t, seed in enumerate(self.seeds):
-            bits = mix64(padded ^ seed)
-            for size, per_table in self.classes.items():
-                kept, keys, owner, offset, there = per_table[t]
-                key = walk(padded, bits, starts[size], max(1, 3 * size // 2), kept)
-                hit = np.flatnonzero(there[key & np.uint64(_BITS - 1)])
-                low, high = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                n = high - low
-                if n.sum():
-                    which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    at, item = np.repeat(starts[size][hit], n), owner[which]
-                    # A copy's window has at most the item's allowed edits: all its other words are the item's.
-                    shared = self.has[item[:, None], folded[at[:, None] + np.arange(size)]].sum(1)
-                    fit = shared >= size - self.allowed[item]
-                    at, item, which = at[fit], item[fit], which[fit]
-                    found.append(np.stack([row[at], item, place[at] - offset[which]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        begin, end = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
+        folded = (words & np.uint64(_CLASSES - 1)).astype(np.int64)
+        found = [np.zeros((0, 4), np.int64)]
+        for length, (keys, owner, offset, there) in self.pieces.items():
+            start = np.flatnonzero(end - np.arange(len(words)) >= length)
+            key = span_keys(words, start, length)
+            hit = np.flatnonzero(there[key & np.uint64(_BITS - 1)])
+            low, high = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+            n = high - low
+            if n.sum():
+                which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                at = np.repeat(start[hit], n)
+                found.append(np.stack([row[at], owner[which], at - begin[at] - offset[which], at], axis=1))
+        every = np.concatenate(found)
+        every = every[np.unique(every[:, :3], axis=0, return_index=True)[1]]
+        out = [np.zeros((0, 3), np.int64)]
+        for a in range(0, len(every), 1 << 14):
+            part = every[a : a + (1 << 14)]
+            item, first = part[:, 1], begin[part[:, 3]]
+            # A copy lies within the allowed edits about the item's place: all its other words are the item's.
+            low = np.maximum(first + part[:, 2] - self.allowed[item], first)
+            high = np.minimum(first + part[:, 2] + self.length[item] + self.allowed[item], end[part[:, 3]])
+            n = high - low
+            stop = np.cumsum(n)
+            where = np.arange(stop[-1]) + np.repeat(low - (stop - n), n)
+            shared = np.add.reduceat(self.has[np.repeat(item, n), folded[where]].astype(np.int64), stop - n)
+            out.append(part[shared >= self.length[item] - self.allowed[item], :3])
+        return np.concatenate(out)
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, distance) of every leak that the candidates lead to, at its least distance."""
         out: dict[tuple[int, int], int] = {}
-        if not self.classes:
+        if not self.pieces:
             return []
         for a, b in chunks(offsets):
             words, row = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

@@ -192,6 +192,24 @@ def test_recall_against_brute_force():
     assert set(got) <= set(want) and all(got[k] == want[k] for k in got) and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["substitute", "delete", "insert", "mixed"])
+@pytest.mark.parametrize("length", [3, 9, 16, 30, 47, 54, 64, 95, 120])
+def test_no_leak_is_lost(length, kind):
+    """At the most edits that count as a leak, for each length and kind of edits."""
+    r = random.Random(f"{length} {kind}")
+    items = [prose(length, 4000 + i) for i in range(25)]
+    index, texts = op05_decontaminate.Index(items), []
+    for i, item in enumerate(items):
+        w = item.split()
+        for at in sorted(r.sample(range(length), int(0.2 * length + 1e-9)), reverse=True):
+            how = r.choice(["substitute", "delete", "insert"]) if kind == "mixed" else kind
+            w[at : at + 1] = {"substitute": [f"new{at}"], "delete": [], "insert": [w[at], f"new{at}"]}[how]
+        texts.append(" ".join([prose(r.randrange(80), 900 + i), *w, prose(r.randrange(40), 700 + i)]))
+    data = [t.encode() for t in texts]
+    got = {(a, b): d for a, b, d in index.leaks(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))}
+    assert all(got.get((i, i)) == word_edits(item.split(), texts[i].split()) for i, item in enumerate(items))
+
+
 def test_leaks_and_filter(docs, benchmark):
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in op05_decontaminate.leaks(docs, benchmark).collect()} == {(8, 1, 0)}
     kept = op05_decontaminate.without_leaks(docs, benchmark)
