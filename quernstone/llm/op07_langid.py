@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are lower-cased, runs of what is not a letter become one space. Counts of four-character grams are
-gathered over every text outside the held-out fold whose language is known, in Spark; the lower orders'
+gathered over every text outside the held-out fold whose language is known, in Spark, and none is left out; the lower orders'
 continuation counts follow from the distinct grams. A model keeps, for each order, its grams and contexts as
 sorted arrays of 64-bit keys, and is asked by binary search; a worker remembers the answers in a direct-mapped table.
 The language of the lowest cross-entropy per character is chosen; a logistic curve over the margin to the
@@ -22,11 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import crc_mod, first_by_hash, held_out, logistic, mix64
+from quernstone.llm._common import crc_mod, first_by_hash, held_out, logistic, materialise, mix64
 
 ORDER = 4
-#: Grams over all languages that a model keeps, the most frequent first: 40 bytes each in every worker.
-MOST_GRAMS = 2_000_000
 #: Texts that the score's curve is fitted on at most.
 CURVE_SAMPLE = 4_000
 REJECT = 0.5
@@ -225,10 +223,12 @@ def counted(known: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> Model:
     """A model of all rows outside the held-out fold (crc32(doc_id) mod 3 = 1) with a known language."""
     known = _known(docs)
-    table = counted(known).orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    key, n = (table.column(c).to_numpy() for c in ("gram", "n"))
-    model = Model({lang: (key[langs == lang].view(np.uint64), n[langs == lang]) for lang in sorted(set(langs.tolist()))})
+    table = materialise(counted(known), "grams")
+    counts = {}
+    for lang in sorted(r["lang"] for r in table.select("lang").distinct().collect()):  # one language at a time, whole
+        rows = table.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        counts[lang] = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    model = Model(counts)
     sample = first_by_hash(known, "doc_id", CURVE_SAMPLE, docs.where("lang is not null").count()).select("lang", "text")
 
     def weigh(batches):

@@ -349,6 +349,19 @@ def test_languages_on_held_out_rows(spark, sf_dir):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.98
 
 
+def test_a_language_of_rare_grams_is_kept(spark):
+    """Over two million grams of one language, all met twice, beside a language whose grams are met once."""
+    rng = np.random.default_rng(2)
+    large = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 20_000))) for _ in range(110)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, t, "zz") for i, t in zip(ids, large * 2)] + [(ids[500], "the quick brown fox jumps over a lazy dog", "aa")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = op07_langid.fit(df)
+    assert model.names == ["aa", "zz"] and model.predict(["a brown dog jumps over the fox"])[0] == ["aa"]
+    key, _ = op07_langid.grams(large)
+    assert len(model.languages[1].orders[0][1]) == len(np.unique(key)) > 2_000_000
+
+
 def test_no_letter_is_undetermined(docs):
     got = {r["doc_id"]: r for r in op07_langid.identify(docs).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2)) and got[3]["lang_pred"] == "en"
