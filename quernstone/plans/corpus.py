@@ -240,7 +240,7 @@ def fuzzy_dedup(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return A.raw_papers(spark, sf_dir).select(F.col("raw_id").alias("paper_id"), "title", F.lit("").alias("abstract"))
+    return A.raw_papers(spark, sf_dir).select(F.col("raw_id").alias("paper_id"), "title", "abstract")
 
 
 @query()
@@ -256,5 +256,5 @@ def keyphrase_embedding(spark, sf_dir):
 @query()
 def structured_batch(spark, sf_dir):
     none = F.lit(None).cast("string")
-    raw = A.raw_papers(spark, sf_dir).withColumns({"venue_raw": none, "comments": F.substring("abstract", 1, 2000), "journal_ref": none, "year": F.lit(None).cast("int")})
+    raw = A.raw_papers(spark, sf_dir).withColumns({"venue_raw": none, "comments": F.col("abstract"), "journal_ref": none, "year": F.lit(None).cast("int")})
     return structuring.structure(raw).counters

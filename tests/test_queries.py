@@ -36,6 +36,33 @@ def test_runs(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).limit(5).count() >= 0
 
 
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """Documents whose keywords stand below the first line, or that have no text."""
+    at = str(tmp_path_factory.mktemp("texts"))
+    below = "A plain first line\n" + "Quantum annealing solves lattice problems. " * 30
+    rows = [(1, below, "en", "arxiv", 1), (2, None, "en", "arxiv", 0), (3, "", "en", "arxiv", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["yake_keywords", "keyphrase_embedding"])
+def test_keywords_below_the_first_line(spark, texts, name):
+    found = {r["keyword"] for r in registry.QUERIES[name](spark, texts).where("paper_id = 1").collect()}
+    assert any("annealing" in k or "lattice" in k for k in found)
+
+
+def test_comments_are_whole(spark, texts, monkeypatch):
+    from quernstone.operators import structuring
+
+    seen, structure = [], structuring.structure
+    monkeypatch.setattr(structuring, "structure", lambda raw: seen.append(raw) or structure(raw))
+    long = spark.read.parquet(f"{texts}/documents.parquet").where("doc_id = 1").selectExpr("1000 AS doc_id", "concat(text, repeat('x', 3000)) AS text", "lang", "source", "n_chars")
+    long.write.parquet(f"{texts}/long/documents.parquet")
+    registry.QUERIES["structured_batch"](spark, f"{texts}/long")
+    assert seen[0].where("comments = abstract and length(comments) > 2000").count() == 1
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
