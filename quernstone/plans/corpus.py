@@ -225,10 +225,11 @@ def keyword_acceptance(spark, sf_dir):
 @query("SELECT doc_id AS raw_id, split_part(text, chr(10), 1) AS abstract FROM documents")
 def inverted_index_abstract(spark, sf_dir):
     """Each first line as an inverted index, and back."""
-    words = A.raw_papers(spark, sf_dir).select("raw_id", F.posexplode(F.split("title", " ")).alias("p", "w"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("raw_id"), X.first_line(F.col("text")).alias("title"))
+    words = docs.select("raw_id", F.posexplode_outer(F.split("title", " ")).alias("p", "w"))
     places = words.groupBy("raw_id", "w").agg(F.collect_list("p").alias("ps"))
-    index = places.groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("raw_id", E.abstract_of(F.col("index")).alias("abstract"))
+    index = places.groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "ps")))).alias("index"))
+    return index.select("raw_id", F.when(F.size("index") > 0, E.abstract_of(F.col("index"))).alias("abstract"))
 
 
 @query()

@@ -63,6 +63,11 @@ def test_comments_are_whole(spark, texts, monkeypatch):
     assert seen[0].where("comments = abstract and length(comments) > 2000").count() == 1
 
 
+def test_an_index_of_no_text(spark, texts):
+    got = {r["raw_id"]: r["abstract"] for r in registry.QUERIES["inverted_index_abstract"](spark, texts).collect()}
+    assert got == {1: "A plain first line", 2: None, 3: ""}
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
