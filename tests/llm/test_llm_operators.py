@@ -409,6 +409,17 @@ def test_packing_round_trip(docs):
     assert len([r for r in rows if r["doc_id"] == 6]) == 2 * len([r for r in rows if r["doc_id"] == 7])
 
 
+def test_added_tokens_keep_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "  <|endoftext|>  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in op08_packing.pieces(df, with_ids=True).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 # ------------------------------------------------------------ 9
 
 
