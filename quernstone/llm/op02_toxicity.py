@@ -128,7 +128,12 @@ def _counts(sample: DataFrame) -> DataFrame:
             data, offsets = text_bytes(batch.column(0))
             start, end, row = word_spans(data, offsets, PUNCT)
             h = span_hashes(data, start, end)
-            key = np.arange(batch.num_rows).astype(np.uint64)  # a text of under five words stands for itself
+            # A text of under five words is known by all its words.
+            key = np.diff(np.searchsorted(row, np.arange(batch.num_rows + 1))).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                place = np.arange(len(h)) - np.searchsorted(row, row)
+                np.add.at(key, row, mix64(h + place.astype(np.uint64)))
+            key = mix64(key)
             if len(h) >= 5:
                 with np.errstate(over="ignore"):
                     five = mix64(sum(h[k : len(h) - 4 + k] * np.uint64(2 * k + 3) ** np.uint64(3) for k in range(5)))

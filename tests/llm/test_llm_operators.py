@@ -123,6 +123,14 @@ def test_toxicity_and_quality_on_held_out_rows(spark, sf_dir):
         assert np.mean([r["predicted"] == r[label] for r in got]) >= least
 
 
+def test_short_texts_count_once_each(spark):
+    """Different short texts at the same place of two batches both count; equal ones once."""
+    tune(spark)
+    sample = spark.createDataFrame([(f"foo w{i % 2500}", 1) for i in range(5000)] + [("w1 foo", 1)], "text string, label int").repartition(3)
+    token = op02_toxicity.tokens(np.frombuffer(b"foo", np.uint8), np.array([0, 3]))[0][0].view(np.int64)[0]
+    assert op02_toxicity._counts(sample).where(F.col("token") == int(token)).first()["toxic"] == 2501
+
+
 def test_machine_matches_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     k = len(op03_quality.STATISTICS)
