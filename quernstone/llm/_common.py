@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,12 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a
+    temporary folder that goes with the process; on a cluster an error is raised, as no folder of one machine would do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("quernstone.scratch", None)
         if not at:
-            at = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="quernstone-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            at = f"file://{folder}"
             spark.conf.set("quernstone.scratch", at)
     return at.rstrip("/")
 
@@ -48,6 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, lengthened until no column of `taken` has it (names differ by more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; NULL for a NULL id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
@@ -156,29 +171,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 SAMPLE = 20_000
 
 
-def first_by_hash(rows: DataFrame, id_col: str, most: int, n: int) -> DataFrame:
-    """The `most` of about n rows with the smallest hash of their id.
+def first_by_hash(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hash of their id.
 
-    Only rows below a hash that half as many again are expected under reach the task that orders them; else each
-    partition would send it `most` rows.
+    The rows are counted first: of many, only those below a hash that half as many again are expected under reach the task
+    that orders them; else each partition would send it `most` rows. Fewer than `most` lie below it with a probability under 1e-30.
     """
-    h = F.xxhash64(id_col)
+    h, n = F.xxhash64(id_col), rows.count()
     if n > 2 * most:
         rows = rows.where(h < F.lit(-(2**63) + int(2**64 * 1.5 * most / n)))
     return rows.orderBy(h, id_col).limit(most)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """(text, label) of up to `most` labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0), written to the shared folder.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """(text, label, metadata) of up to `most` labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0), written to the shared folder.
 
     The rows are those of the smallest xxhash64 of doc_id, so the choice does not depend on order or content.
-    A doc_id with several labels has the largest; one with several texts, any; NULL ids and labels are left out.
+    A doc_id with several labels has the largest; one with several texts, the one of the smallest hash; NULL ids and labels are
+    left out. metadata: numeric columns of docs that come along, as doubles; one that docs has not is NULL.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label is not null")
     known = known.groupBy("__id").agg(F.max("label").alias("label")).where(~held_out("__id", 5, 0))
-    known = first_by_hash(known, "__id", most, labels.count())
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    return materialise(rows.dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "label"), f"sample-{label}")
+    known = first_by_hash(known, "__id", most)
+    extra = [with_metadata(docs, c).alias(c) for c in metadata]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label", *metadata), F.xxhash64("text", *metadata)).alias("r"))
+    return materialise(one.select("r.*"), f"sample-{label}")
+
+
+def with_metadata(docs: DataFrame, name: str) -> Column:
+    """The numeric column of that name as a double; NULL where docs has none."""
+    return F.col(name).cast("double") if name in docs.columns else F.lit(None).cast("double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:

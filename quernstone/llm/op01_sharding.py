@@ -10,18 +10,24 @@ stays as the other left it. Readers see whole versions only; old shards stay unt
 What reaches the driver is one line a shard (path, bytes, rows), not rows of data. The target bounds the lines: at
 512 MB a shard, 100 TB are 200,000.
 
+A version has a schema, the union of its shards' columns. A later arrival may bring new columns and leave out old ones: nothing
+that was written is lost by a merge, and rows that lack a column have NULL there. One that has a column of the same name
+with another type (names are compared without case, as Spark resolves them) is refused before anything is written.
+
 Defined results: NULLs in any column, empty and long texts, repeated rows and rows of equal key are kept as they
-are; an empty append commits a version with no new shard; all columns are kept whatever their names.
+are; an empty append commits a version with no new shard; a store of no rows, and one that nothing was appended to, reads
+as an empty table of its schema; all columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 MANIFEST = "path string, bytes bigint, rows bigint, tier int, since bigint"
 
@@ -30,6 +36,28 @@ class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+class SchemaConflict(ValueError):
+    """A column has another type than the store's column of that name."""
+
+
+def nullable(kind: DataType) -> DataType:
+    """The type with NULLs allowed throughout: what Parquet files are read as."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType), True) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType), True)
+    return MapType(nullable(kind.keyType), nullable(kind.valueType), True) if isinstance(kind, MapType) else kind
+
+
+def merged_schema(old: StructType, new: StructType) -> StructType:
+    """old's columns, then those that only new has."""
+    known = {f.name.lower(): f.dataType for f in old}
+    for f in new:
+        if known.get(f.name.lower(), nullable(f.dataType)) != nullable(f.dataType):
+            raise SchemaConflict(f"{f.name} is {f.dataType.simpleString()}, the store has {known[f.name.lower()].simpleString()}")
+    return StructType([*old.fields, *[StructField(f.name, nullable(f.dataType), True) for f in new if f.name.lower() not in known]])
+
+
 class ShardStore:
     """A table of immutable shards under root.
 
@@ -59,25 +87,33 @@ class ShardStore:
             return 0
         return max((int(x.getPath().getName()) for x in self._fs.listStatus(at) if x.getPath().getName().isdigit()), default=0)
 
+    def _pointer(self, version: int) -> dict:
+        """{"manifest": folder, "schema": JSON} of a version."""
+        stream = self._fs.open(self._path(f"{self.root}/versions/{version:012d}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def schema(self, version: int | None = None) -> StructType:
+        version = self.version() if version is None else version
+        return StructType.fromJson(self._pointer(version)["schema"]) if version else StructType()
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """(path, bytes, rows, tier, since) of the shards of a version; the latest by default."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        stream = self._fs.open(self._path(f"{self.root}/versions/{version:012d}"))
-        try:
-            name = stream.readUTF()
-        finally:
-            stream.close()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{self._pointer(version)['manifest']}")
 
-    def _commit(self, base: int, shards: list[tuple]) -> int:
-        """Makes base + 1 of these shards, unless another writer has."""
+    def _commit(self, base: int, shards: list[tuple], schema: StructType | None = None) -> int:
+        """Makes base + 1 of these shards, with base's schema or a new one, unless another writer has."""
+        schema = schema or self.schema(base)
         name = f"manifest/{uuid.uuid4().hex}"
         self.spark.createDataFrame(shards, MANIFEST).coalesce(1).write.parquet(f"{self.root}/{name}")
         draft, final = (self._path(f"{self.root}/versions/{x}") for x in (f"_{uuid.uuid4().hex}", f"{base + 1:012d}"))
         stream = self._fs.create(draft, False)
-        stream.writeUTF(name)
+        stream.write(bytearray(json.dumps({"manifest": name, "schema": schema.jsonValue()}).encode()))
         stream.close()
         try:
             self._context.rename(draft, final, self._once)
@@ -102,10 +138,11 @@ class ShardStore:
     def append(self, rows: DataFrame) -> int:
         """Writes rows as small shards and commits them; returns the version."""
         base = self.version()
+        schema = merged_schema(self.schema(base), rows.schema)
         folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", self.arrival_rows).option("compression", "zstd").parquet(folder)
         kept = [tuple(r) for r in self.manifest(base).collect()]
-        return self._commit(base, kept + self._written(folder, base + 1))
+        return self._commit(base, kept + self._written(folder, base + 1), schema)
 
     def plan(self, shards: list[tuple]) -> list[list[tuple]]:
         """The runs to merge: shards of one tier below half the target, if they are at least fanout or fill a target.
@@ -128,7 +165,7 @@ class ShardStore:
         runs = self.plan(shards)
         if not runs:
             return base
-        schema = self.spark.read.parquet(shards[0][0]).schema
+        schema = self.schema(base)
         merged = None
         for run in runs:
             files = max(1, round(sum(s[1] for s in run) / self.target_bytes))
@@ -140,22 +177,20 @@ class ShardStore:
         gone = {s[0] for run in runs for s in run}
         if sum(s[2] for s in new) != sum(s[2] for run in runs for s in run):
             raise RuntimeError("a merge has other rows than its shards; nothing is committed")
-        return self._commit(base, [s for s in shards if s[0] not in gone] + new)
+        return self._commit(base, [s for s in shards if s[0] not in gone] + new, schema)
 
-    def settle(self, most_rounds: int = 20) -> int:
-        """Compacts until no tier asks for it."""
-        for _ in range(most_rounds):
-            before = self.version()
-            if self.compact() == before:
-                break
-        return self.version()
+    def settle(self) -> int:
+        """Compacts until no tier asks for it; every round leaves fewer shards, or shards of a higher tier, so that it ends."""
+        version = None
+        while version != (version := self.compact()):
+            pass
+        return version
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version."""
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        if not paths:
-            raise PySparkException(f"no shard in {self.root}")
-        return self.spark.read.parquet(*paths)
+        """The rows of a version, with the version's columns."""
+        version = self.version() if version is None else version
+        schema, paths = self.schema(version), [r["path"] for r in self.manifest(version).select("path").collect()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def expire(self, keep: int = 1) -> int:
         """Deletes the shards that only versions before the latest `keep` have; returns how many."""
