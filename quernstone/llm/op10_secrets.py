@@ -1,13 +1,17 @@
 """Secret scanning through a trigram inverted index, in DataFrame functions only.
 
 Each rule's regex is parsed on the driver into a Boolean query over trigrams that every match must
-hold. A document-partitioned inverted index (block, trigram, postings) is built over all texts; the
+hold. A document-partitioned inverted index (block, trigram, postings) is built over all texts, each of which is read once: one
+pattern, a prefix tree of the rules' trigrams, finds those that it holds. The
 query of each rule intersects and unites postings block by block, and only the candidates are verified
 by the regex itself. A rule without mandatory trigrams is verified on every text.
 
-Defined results: a NULL text is empty; a NULL doc_id is never in the index and is always verified;
-repeated rows give repeated rows; equal starts are ordered by the rules' order; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+Positions and redaction take time in proportion to the text and, for n matches in one text, to n times the root of n.
+
+Defined results: a NULL text is empty; a NULL doc_id is never in the index and is always verified; ids may be of any type
+that can be compared; repeated rows give repeated rows; equal starts are ordered by the rules' order; an empty table gives an
+empty result; other columns are ignored, whatever their names; a column named as the result is kept, and the
+result takes that name with "_" behind it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import materialise
+from quernstone.llm._common import free_name, materialise
 
 #: A query in disjunctive form: one of the sets must be there as a whole. {{}} holds for every text.
 Query = frozenset
@@ -126,6 +130,21 @@ def trigram_query(pattern: str, most_terms: int = 4) -> Query:
     return _minimal({thin(c) for c in query})
 
 
+def prefix_tree(strings: list[str]) -> str:
+    """A pattern that matches any of the strings, which have one length, deciding character by character."""
+    if len(strings[0]) == 1:
+        return strings[0] if len(strings) == 1 and strings[0].isalnum() else "[" + "".join(c if c.isalnum() else "\\" + c for c in sorted(strings)) + "]"
+    heads: dict[str, list[str]] = {}
+    for x in sorted(strings):
+        heads.setdefault(x[0], []).append(x[1:])
+    return "(?:" + "|".join((h if h.isalnum() else "\\" + h) + prefix_tree(t) for h, t in heads.items()) + ")"
+
+
+def held_trigrams(text: Column, trigrams: list[str]) -> Column:
+    """Those of the trigrams that the lower-cased text holds: every place is looked at, as trigrams overlap."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?={prefix_tree(sorted({t[0] for t in trigrams}))})(?=({prefix_tree(trigrams)}))"), F.lit(1)))
+
+
 def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(block, trigram, postings): the sorted ids of the block's documents that hold the trigram.
 
@@ -133,18 +152,18 @@ def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     blocks = max(1, -(-rows.count() // block_rows))
-    low = rows.select("id", F.lower("text").alias("low"))
-    held = low.select("id", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("held"))
+    held = rows.select("id", held_trigrams(F.col("text"), trigrams).alias("held"))
     postings = held.select((F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"), "id", F.explode("held").alias("trigram"))
     return postings.groupBy("block", "trigram").agg(F.array_sort(F.collect_set("id")).alias("postings"))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     """(id, kinds): the ids that meet each rule's query, by intersecting postings within each block."""
+    none = F.array().cast(index.schema["postings"].dataType)
     blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("of"))
 
     def posted(t: str) -> Column:
-        return F.coalesce(F.try_element_at("of", F.lit(t)), F.array().cast("array<bigint>"))
+        return F.coalesce(F.try_element_at("of", F.lit(t)), none)
 
     def met(query: Query) -> Column:
         out = None
@@ -163,44 +182,72 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return flat.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+# ---------------------------------------------------------------- positions
+
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+#: Code points of the pieces that a long text is cut into before parts of it are taken.
+PIECE = 1024
+
+
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join) -> Column:
+    """For each value the join (a sum or a maximum, of 0 at least) of all values up to it.
+
+    Blocks of about the root of their number are joined first, so that no value is looked at more often than that.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), join)
+
+    def blocked(x: Column) -> Column:
+        v, size = x["v"], x["size"]
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(((F.size(v) - 1) / size).cast("int"), F.lit(0))), lambda b: total(F.slice(v, b * size + 1, size)))
+        before = let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
+        each = lambda p: F.transform(v, lambda _, i: join(p[(i / size).cast("int")], total(F.slice(v, (i / size).cast("int") * size + 1, i % size + 1))))
+        return let(before, each)
+
+    bound = let(values, lambda v: F.struct(v.alias("v"), F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int").alias("size")))
+    return let(bound, blocked)
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, rank, end, kind) of the rule's matches, in code points.
 
-    The pieces between the matches, from split(), give the positions.
+    The lengths of the pieces between the matches, from split(), and of the matches add up to the positions.
     """
-    whole, group = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
-    between = F.split(text, rule.pattern, -1)
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    whole, group = (F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)), lambda x: F.length(x).cast("bigint")) for g in (0, rule.group))
+    between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("bigint"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.cast("bigint").alias("start"), F.lit(order).alias("rank"), end.cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["g"]) >= rule.min_length, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        ends = running(F.zip_with(F.slice(x["b"], F.lit(1), F.size(x["m"])), x["m"], lambda b, m: b + m), lambda a, b: a + b)
+        spans = F.transform(F.arrays_zip(ends.alias("e"), x["m"].alias("m"), x["g"].alias("g")), lambda s: F.struct((s["e"] - s["m"]).alias("start"), F.lit(order).alias("rank"), s["e"].alias("end"), F.lit(rule.kind).alias("kind"), s["g"].alias("g")))
+        long = F.filter(spans, lambda s: s["g"] >= rule.min_length)
+        return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
 
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("b"), whole.alias("m"), group.alias("g"))
-    return F.when(text.rlike(rule.guard or rule.pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(rule.guard or rule.pattern), let(F.struct(between.alias("b"), whole.alias("m"), group.alias("g")), placed)).otherwise(F.array().cast(SPANS))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with `spans`: the sorted array of (start, rank, end, kind) of all rules' matches."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, block_rows: int = BLOCK_ROWS, spans_col: str | None = None) -> DataFrame:
+    """docs with a column behind its own: the sorted array of (start, rank, end, kind) of all rules' matches. Its name is spans_col, or `spans`
+    lengthened until no column has it."""
+    columns = docs.columns
+    id_, kinds = (free_name(x, columns) for x in ("candidate_id", "candidate_kinds"))
+    spans_col = spans_col or free_name("spans", columns)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != TRUE}
     vocabulary = sorted({t for q in queries.values() for c in q for t in c})
     if queries:
         found = materialise(candidates(build_index(docs, vocabulary, id_col, text_col, block_rows), queries), "secret-candidates")
-        found = found.withColumnRenamed("id", "__id").withColumnRenamed("kinds", "__kinds")
+        found = found.withColumnRenamed("id", id_).withColumnRenamed("kinds", kinds)
         found = F.broadcast(found) if found.count() <= broadcast_ids else found
-        docs = docs.join(found, F.col(id_col) == F.col("__id"), "left")
-    else:
-        docs = docs.withColumn("__id", F.lit(None).cast("bigint")).withColumn("__kinds", F.array().cast("array<string>"))
+        docs = docs.join(found, F.col(id_col) == F.col(id_), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     parts = []
     for order, rule in enumerate(rules):
         spans = rule_spans(text, rule, order)
-        parts.append(spans if rule.kind not in queries else F.when(F.col(id_col).isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)), spans).otherwise(none))
-    return docs.withColumn("spans", F.array_sort(F.concat(*parts))).drop("__id", "__kinds")
+        parts.append(spans if rule.kind not in queries else F.when(F.col(id_col).isNull() | F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)), spans).otherwise(F.array().cast(SPANS)))
+    return docs.select(*columns, F.array_sort(F.concat(*parts)).alias(spans_col))
 
 
 def joined(spans: Column) -> Column:
@@ -208,19 +255,37 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, as scan() returns them, with each span that no earlier one overlaps replaced by <KIND>; without spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def redacted(text: Column, spans: Column) -> Column:
+    """text with each span that no earlier one overlaps replaced by <KIND>.
+
+    The text is cut into pieces once; what stands between two spans is taken from the few pieces that it lies in.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out"))
+    def part(of: Column, begin: Column, end: Column) -> Column:
+        first, last = (begin / PIECE).cast("int"), (end / PIECE).cast("int")
+        return F.substr(F.array_join(F.slice(of, first + 1, last - first + 1), ""), (begin % PIECE + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
 
-    rest = lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col(text_col))
-    return docs.withColumn(text_col, clean).drop("spans")
+    def replaced(x: Column) -> Column:
+        of, s = x["of"], x["s"]
+        reach = running(F.transform(s, lambda v: v["end"]), lambda a, b: F.greatest(a, b))
+
+        def built(r: Column) -> Column:
+            before = F.concat(F.array(F.lit(0).cast("bigint")), r)
+            kept = F.filter(F.arrays_zip(s.alias("s"), F.slice(before, F.lit(1), F.size(s)).alias("at")), lambda v: v["s"]["start"] >= v["at"])
+            said = F.transform(kept, lambda v: F.concat(part(of, v["at"], v["s"]["start"]), F.lit("<"), F.upper(v["s"]["kind"]), F.lit(">")))
+            return F.concat(F.array_join(said, ""), part(of, F.element_at(r, -1), x["n"]))
+
+        return let(reach, built)
+
+    return let(F.struct(pieces.alias("of"), spans.alias("s"), F.length(text).cast("bigint").alias("n")), replaced)
+
+
+def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """docs, as scan() returns them, with each span that no earlier one overlaps replaced by <KIND>; without the spans."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    clean = F.when(F.size(spans_col) > 0, redacted(text, F.col(spans_col))).otherwise(F.col(text_col))
+    return docs.withColumn(text_col, clean).drop(spans_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:
