@@ -4,6 +4,9 @@ Texts are lower-cased, runs of what is not a letter become one space. Counts of
 gathered over every text outside the held-out fold whose language is known, in Spark, and none is left out; the lower orders'
 continuation counts follow from the distinct grams. A model keeps, for each order, its grams and contexts as
 sorted arrays of 64-bit keys, and is asked by binary search; a worker remembers the answers in a direct-mapped table.
+Models go to the workers in blocks of languages of up to BLOCK_GRAMS grams, and a text passes all blocks, keeping its two lowest
+entropies: neither the driver nor a worker holds more than one block, which a single language with more grams than that has for itself
+(it has four-character grams of its own script only, so that it ends growing long before the texts do).
 The language of the lowest cross-entropy per character is chosen; a logistic curve over the margin to the
 second and the length, fitted on a bounded sample, gives the score, and a choice below REJECT is marked.
 
@@ -28,6 +31,8 @@ ORDER = 4
 #: Texts that the score's curve is fitted on at most.
 CURVE_SAMPLE = 4_000
 REJECT = 0.5
+#: Four-character grams of the languages that are sent to the workers at once, about 40 bytes each there.
+BLOCK_GRAMS = 4_000_000
 _SLOTS = 1 << 20
 
 
@@ -120,11 +125,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarra
 
 
 class Model:
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    """The models of a block of languages; alphabet is that of all languages."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int):
         self.names = sorted(counts)
-        alphabet = len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts.values()]))) + 1 if counts else 2
         self.languages = [Language(*counts[k], alphabet) for k in self.names]
-        self.curve = np.zeros(3)
         self._memo = None
 
     def __getstate__(self):
@@ -164,21 +169,16 @@ class Model:
                 out[a + rows] = sums / n[a + rows, None]
         return out, n
 
-    def choose(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the best language (-1: no letter), and the two inputs of the curve."""
+    def lower(self, texts: list[str | None], name: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the texts have of the blocks before (name of the lowest entropy, it, the second lowest) with this block's languages, and the texts'
+        grams. Blocks come in alphabetical order, so that of equal entropies the first name stays."""
         entropy, n = self.entropies(texts)
-        if not self.names:
-            return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
-        best = entropy.argmin(1)
-        two = np.sort(entropy, axis=1)[:, :2]
-        margin = two[:, 1] - two[:, 0] if entropy.shape[1] > 1 else np.ones(len(texts))
-        return np.where(n > 0, best, -1), margin * np.sqrt(n), two[:, 0]
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        best, margin, entropy = self.choose(texts)
-        x = np.stack([np.ones(len(texts)), np.log1p(margin), entropy], axis=1)
-        score = 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
-        return [self.names[b] if b >= 0 else "und" for b in best], np.where(best >= 0, score, 0.0)
+        order = np.argsort(entropy, axis=1, kind="stable")[:, :2]
+        low = np.take_along_axis(entropy, order, 1)
+        other = low[:, 1] if low.shape[1] > 1 else np.full(len(texts), np.inf)
+        better = low[:, 0] < first
+        new = np.array(self.names, object)[order[:, 0]]
+        return np.where(better, new, name), np.where(better, low[:, 0], first), np.where(better, np.minimum(first, other), np.minimum(low[:, 0], second)), n
 
 
 def _known(docs: DataFrame) -> DataFrame:
@@ -220,45 +220,78 @@ def counted(known: DataFrame) -> DataFrame:
     return known.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> Model:
-    """A model of all rows outside the held-out fold (crc32(doc_id) mod 3 = 1) with a known language."""
-    known = _known(docs)
-    table = materialise(counted(known), "grams")
-    counts = {}
-    for lang in sorted(r["lang"] for r in table.select("lang").distinct().collect()):  # one language at a time, whole
-        rows = table.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        counts[lang] = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    model = Model(counts)
-    sample = first_by_hash(known, "doc_id", CURVE_SAMPLE, docs.where("lang is not null").count()).select("lang", "text")
+def blocks_of(table: DataFrame, most: int = BLOCK_GRAMS):
+    """A Model of each block of languages of the written (lang, gram, n); one is on the driver at a time."""
+    sizes = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}  # a row a language
+    letters = table.agg(F.count_distinct(F.col("gram").bitwiseAND(F.lit(0xFFFF)))).first()[0] + 1
+    block, held = [], 0
+    for lang in [*sorted(sizes), None]:
+        if block and (lang is None or held + sizes[lang] > most):
+            counts = {}
+            for k in block:
+                rows = table.where(F.col("lang") == k).select("gram", "n").toArrow()
+                counts[k] = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+            yield Model(counts, letters)
+            block, held = [], 0
+        if lang is not None:
+            block.append(lang)
+            held += sizes[lang]
 
-    def weigh(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            best, margin, entropy = model.choose(batch.column(1).to_pylist())
-            right = [b >= 0 and model.names[b] == lang for b, lang in zip(best, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(right), pa.array(margin), pa.array(entropy), pa.array(best >= 0)], names=["ok", "margin", "entropy", "any"])
+def entropies(rows: DataFrame, table: DataFrame, most: int = BLOCK_GRAMS) -> DataFrame:
+    """rows (..., text) with name, first, second, grams: the language of the lowest entropy, it, the second lowest, the grams; `text` is gone.
 
-    rows = sample.repartition(16).mapInArrow(weigh, "ok boolean, margin double, entropy double, any boolean").where("any").collect()
-    if rows:
-        x = np.array([[1.0, np.log1p(r["margin"]), r["entropy"]] for r in rows])
-        y = np.array([float(r["ok"]) for r in rows])
-        # One made-up miss at no margin, so that the curve falls there even if all are right.
-        model.curve = logistic(np.vstack([x, [1.0, 0.0, x[:, 2].mean()]]), np.append(y, 0.0), 1e-3)
-    return model
+    Between two blocks the rows are written to the shared folder.
+    """
+    out = rows.select("*", F.lit(None).cast("string").alias("name"), F.lit(float("inf")).alias("first"), F.lit(float("inf")).alias("second"), F.lit(0).cast("bigint").alias("grams"))
+    started = False
+    for model in blocks_of(table, most):
+        out = materialise(out, "language-block") if started else out
+        started = True
+        text, name = (out.columns.index(c) for c in ("text", "name"))
 
+        def run(batches, model=model, text=text, name=name):
+            import pyarrow as pa
 
-def identify(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document, and `rejected`."""
-    model = fit(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+            for batch in batches:
+                old = [batch.column(name + k).to_numpy(zero_copy_only=False) for k in range(3)]
+                names, first, second, n = model.lower(batch.column(text).to_pylist(), *old)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:name], pa.array(names, pa.string()), pa.array(first), pa.array(second), pa.array(n)], names=batch.schema.names)
 
-    def run(batches):
-        import pyarrow as pa
+        out = out.mapInArrow(run, out.schema)
+    return out.drop("text")
 
-        for batch in batches:
-            names, score = model.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
-    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", (F.col("score") < REJECT).alias("rejected"))
+def _inputs(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the curve is over: the margin to the second language, times the root of the grams, and the entropy."""
+    margin = np.where(np.isinf(second), 1.0, second - np.where(np.isinf(first), 0.0, first)) * np.sqrt(n)
+    return np.stack([np.ones(len(n)), np.log1p(margin), np.where(np.isinf(first), 0.0, first)], axis=1)
+
+
+def learnt(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n), written, of all rows outside the held-out fold (crc32(doc_id) mod 3 = 1) with a known language."""
+    return materialise(counted(_known(docs)), "grams")
+
+
+def curve_of(docs: DataFrame, table: DataFrame, most: int = BLOCK_GRAMS) -> np.ndarray:
+    """Coefficients of the score: of up to CURVE_SAMPLE learnt rows, which language they are of and which was chosen."""
+    sample = first_by_hash(_known(docs), "doc_id", CURVE_SAMPLE).select("lang", "text").repartition(16)
+    rows = entropies(sample, table, most).where("grams > 0").select((F.col("name") == F.col("lang")).alias("ok"), "first", "second", "grams").toArrow()
+    if not rows.num_rows:
+        return np.zeros(3)
+    x = _inputs(*(rows.column(c).to_numpy() for c in ("first", "second", "grams")))
+    # One made-up miss at no margin, so that the curve falls there even if all are right.
+    return logistic(np.vstack([x, [1.0, 0.0, x[:, 2].mean()]]), np.append(rows.column("ok").to_numpy(zero_copy_only=False).astype(float), 0.0), 1e-3)
+
+
+def identify(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """The contract's columns for every document, and `rejected`."""
+    table = learnt(docs)
+    curve = curve_of(docs, table, block_grams)
+    found = entropies(docs.select("doc_id", "text"), table, block_grams)
+    margin = F.when(F.col("second") == float("inf"), 1.0).otherwise(F.col("second") - F.col("first")) * F.sqrt("grams")
+    x = F.lit(float(curve[0])) + F.lit(float(curve[1])) * F.log1p(margin) + F.lit(float(curve[2])) * F.col("first")
+    known = (F.col("grams") > 0) & F.col("name").isNotNull()
+    score = F.when(known, 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))).otherwise(0.0)
+    out = found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), F.when(known, F.col("name")).otherwise("und").alias("lang_pred"), score.alias("score"))
+    return out.withColumn("rejected", F.col("score") < REJECT)
