@@ -2,24 +2,31 @@
 
 A text of code points c has, for each of two prime moduli, the prefix array H[i] = sum of c[j] B^j for
 j < i; (H[j] - H[i]) B^-i is the hash of any span, so two spans are compared in constant time and the
-longest common extension of two positions is found by binary search. A fingerprint is the hash of the
-whole text, its length, and the smallest span hash in each of 32 classes over all spans of eight code
-points: equal texts have equal fingerprints, and the share of equal classes estimates the likeness of two
-texts' sets of spans.
+longest common extension of two positions is found by binary search.
+
+A fingerprint holds the hash of the whole text, its length, the hashes of its beginnings and of its ends of fixed lengths (8 code points,
+and each a quarter longer than the one before), and the smallest span hash in each of 32 classes over all spans of eight
+code points. Equal texts have equal fingerprints. Two fingerprints give the common beginning and the common end of
+their texts, to the next fixed length, by binary search over span equality: a beginning that two texts share is one of all
+shorter lengths. The likeness of two fingerprints is the larger of the share of the longer text that these two
+extensions cover and the share of equal classes, which estimates the likeness of the sets of spans wherever they stand.
 
 Defined results: a NULL text is empty; an empty text's fingerprint has empty classes only, and is like another
 empty one (1.0) and nothing else; texts shorter than a span have one span, the whole; rows with a NULL doc_id
 come last in descending order; rows of one doc_id are ordered by their text's hash, so that repeated rows have
 equal texts next to them and get the same results except the last; a single row is its own next; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Two primes below 2^31 and a base for each: products of residues fit 64 bits.
@@ -27,6 +34,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 SPAN, CLASSES = 8, 32
 _EMPTY = "-" * 4
+#: Hex digits of a beginning's or end's hash in a fingerprint, and bytes of text that one zone of the query holds, about.
+_DIGITS, ZONE_BYTES = 6, 64 << 20
 
 
 def _mod(x: np.ndarray, p: int) -> np.ndarray:
@@ -98,8 +107,18 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@functools.cache
+def cuts(n: int) -> np.ndarray:
+    """The fixed lengths of beginnings and ends up to n: 8, and each a quarter longer than the one before."""
+    out, at = [], SPAN
+    while at <= n:
+        out.append(at)
+        at += at // 4
+    return np.array(out, np.int64)
+
+
 def fingerprint(codes: np.ndarray) -> str:
-    """<hash of the whole, 16 hex digits>:<length, hex>:<32 classes of 4 hex digits, ---- if empty>."""
+    """<hash of the whole, 16 hex digits>:<length, hex>:<beginnings>:<ends, 6 hex digits each>:<32 classes of 4 hex digits, ---- if empty>."""
     prefix = Prefix(codes)
     n = prefix.n
     whole = prefix.span(0, n)
@@ -109,25 +128,45 @@ def fingerprint(codes: np.ndarray) -> str:
         begin = np.arange(n - SPAN + 1)
         spans = prefix.spans(begin, begin + SPAN)
     least = np.full(CLASSES, 2**64 - 1, np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = (spans ^ spans >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
+    mixed = _mixed(spans)
     of = (mixed & np.uint64(CLASSES - 1)).astype(np.int64)
     np.minimum.at(least, of, mixed >> np.uint64(5))
     with np.errstate(over="ignore"):
         short = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
     classes = "".join(_EMPTY if m == 2**64 - 1 else f"{s:04x}" for m, s in zip(least.tolist(), short.tolist()))
-    return f"{whole:016x}:{n:x}:{classes}"
+    at = cuts(1 << max(n, 1).bit_length())
+    at = at[at <= n]
+    parts = _mixed(prefix.spans(np.concatenate([np.zeros(len(at), np.int64), n - at]), np.concatenate([at, np.full(len(at), n)]))) >> np.uint64(64 - 4 * _DIGITS)
+    ends = ["".join(f"{x:0{_DIGITS}x}" for x in part.tolist()) for part in (parts[: len(at)], parts[len(at) :])]
+    return f"{whole:016x}:{n:x}:{ends[0]}:{ends[1]}:{classes}"
+
+
+def _mixed(spans: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        mixed = (spans ^ spans >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ mixed >> np.uint64(32)
+
+
+def extent(a: str, b: str) -> int:
+    """The longest fixed length at which two lists of beginnings (or ends) agree, by binary search: they agree at all shorter ones."""
+    low, high = 0, min(len(a), len(b)) // _DIGITS
+    while low < high:
+        middle = (low + high + 1) // 2
+        span = slice((middle - 1) * _DIGITS, middle * _DIGITS)
+        low, high = (middle, high) if a[span] == b[span] else (low, middle - 1)
+    return int(cuts(1 << 40)[low - 1]) if low else 0
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the classes with a span in either text that agree: 0 to 1."""
+    """0 to 1: the share of the longer text that the common beginning and end cover, or that of equal classes among those that a span of either text is in."""
     if a == b:
         return 1.0
-    x, y = a.rpartition(":")[2], b.rpartition(":")[2]
-    pairs = [(x[i : i + 4], y[i : i + 4]) for i in range(0, 4 * CLASSES, 4)]
+    x, y = a.split(":"), b.split(":")
+    longer = max(int(x[1], 16), int(y[1], 16), 1)
+    covered = min(extent(x[2], y[2]) + extent(x[3], y[3]), min(int(x[1], 16), int(y[1], 16))) / longer
+    pairs = [(x[4][i : i + 4], y[4][i : i + 4]) for i in range(0, 4 * CLASSES, 4)]
     used = [(p, q) for p, q in pairs if p != _EMPTY or q != _EMPTY]
-    return sum(p == q for p, q in used) / len(used) if used else 0.0
+    return max(covered, sum(p == q for p, q in used) / len(used) if used else 0.0)
 
 
 def edited(text: str, following: str) -> str:
@@ -136,39 +175,77 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def borders(rows: DataFrame, pieces: int | None = None, zone_bytes: int = ZONE_BYTES) -> list[tuple[int | None, int]]:
+    """Where zones begin but the first, in the order of rows: (doc_id, hash), each the first place of a zone. rows: (doc_id, hash, text).
+
+    There are as many zones as keep each to about zone_bytes of text. They are cut at quantiles of the ids; an id that several quantiles fall
+    on, and the rows without an id, are cut by hash into as many.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.sum(F.octet_length("text") + F.lit(64)).alias("bytes")).first()
+    if not size["n"]:
+        return []
+    pieces = pieces or max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // zone_bytes))
+    shares = lambda n: [-(2**63) + (2**64 * i) // n for i in range(n)]
+    out: list[tuple[int | None, int]] = []
+    if size["known"]:
+        of = max(1, round(pieces * size["known"] / size["n"]))
+        found = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / of) for i in range(1, of)] or [F.lit(0.5)]), F.lit(20 * of)).alias("c")).first()["c"] if of > 1 else []
+        for doc_id, times in sorted(Counter(found).items(), reverse=True):
+            out += [(doc_id, h) for h in shares(times)]
+    nulls = size["n"] - size["known"]
+    if nulls:
+        out += [(None, h) for h in shares(max(1, round(pieces * nulls / size["n"])))]
+    return out
+
+
+def zone_of(at: list[tuple[int | None, int]]) -> Column:
+    """The number of borders at or before a row (doc_id, hash), found among the first borders of groups and then within one group."""
+    if not at:
+        return F.lit(0)
+    entry = lambda b: F.struct(F.lit(b[0]).cast("bigint").alias("i"), F.lit(b[1]).cast("bigint").alias("h"))
+    step = max(1, int(len(at) ** 0.5))
+    groups = [at[i : i + step] for i in range(0, len(at), step)]
+    own, h = F.col("doc_id").cast("bigint"), F.col("hash")
+
+    def behind(b: Column) -> Column:
+        """Whether the row is at the border or after it: ids fall, NULLs are last, hashes rise."""
+        after = F.when(own.isNull(), b["i"].isNotNull()).otherwise(F.coalesce(own < b["i"], F.lit(False)))
+        return after | (own.eqNullSafe(b["i"]) & (h >= b["h"]))
+
+    passed = F.size(F.filter(F.array(*[entry(g[0]) for g in groups]), behind))
+    last = F.element_at(F.array(*[F.array(*map(entry, g)) for g in groups]), F.greatest(passed, F.lit(1)))
+    return F.when(passed == 0, 0).otherwise((passed - 1) * step + F.size(F.filter(last, behind)))
+
+
 def with_next(docs: DataFrame, pieces: int | None = None) -> DataFrame:
-    """(zone, extra, doc_id, text): rows in zones of descending doc_id, sorted; each zone ends with a row that is the next zone's first, marked extra.
+    """(zone, extra, doc_id, hash, text): rows in zones of descending doc_id, sorted; each zone ends with a row that is the next zone's first, marked extra.
 
-    The zones' borders are quantiles of the ids. Each row's text moves once; the first row of each zone, twice.
+    Each row's text moves once; the first row of each zone, twice.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = pieces or max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(20 * pieces)).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []), reverse=True)
-    # Zone 0 has the largest ids; zone k those from cuts[k] (inclusive) up to cuts[k - 1]; NULL ids are in the last.
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    zone = F.coalesce(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))), F.lit(len(cuts)))
-    zoned = rows.withColumn("zone", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(zone))
-    firsts = zoned.select("zone", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id").alias("k")).groupBy("zone").agg(F.max("k").alias("k")).collect()  # a row a zone
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    zoned = rows.withColumn("zone", zone_of(borders(rows, pieces)).cast("int"))
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.bitwise_not("hash").alias("h"))).alias("k")
+    firsts = sorted(zoned.groupBy("zone").agg(first).collect())  # a row a zone
     if not firsts:
-        return zoned.select("zone", F.lit(False).alias("extra"), "doc_id", "text")
-    order = sorted(firsts, key=lambda r: r["zone"])
-    ends = {r["k"]["doc_id"]: order[i - 1]["zone"] for i, r in enumerate(order)}  # the first zone's first row follows the last zone
+        return zoned.select("zone", F.lit(False).alias("extra"), "doc_id", "hash", "text")
+    # The first zone's first row follows the last zone.
+    ends = [(r["k"]["doc_id"], ~r["k"]["h"], before["zone"]) for before, r in itertools.pairwise([firsts[-1], *firsts])]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = spark.createDataFrame(list(ends.items()), f"__first {kind}, __before int")
-    zoned = zoned.join(F.broadcast(last), F.col("doc_id").eqNullSafe(F.col("__first")), "left")
+    last = spark.createDataFrame(ends, f"__first {kind}, __hash bigint, __before int")
+    zoned = zoned.join(F.broadcast(last), F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("hash") == F.col("__hash")), "left")
     before = F.col("__before")
-    own = F.struct(F.col("zone").cast("int").alias("zone"), F.lit(False).alias("extra"))
+    own = F.struct(F.col("zone").alias("zone"), F.lit(False).alias("extra"))
     targets = F.when(before.isNotNull(), F.array(own, F.struct(before.alias("zone"), F.lit(True).alias("extra")))).otherwise(F.array(own))
-    return zoned.withColumn("to", F.explode(targets)).select("to.zone", "to.extra", "doc_id", "text")
+    return zoned.withColumn("to", F.explode(targets)).select("to.zone", "to.extra", "doc_id", "hash", "text")
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     zoned = with_next(docs)
-    dealt = zoned.repartition("zone").sortWithinPartitions("zone", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    dealt = zoned.repartition("zone").sortWithinPartitions("zone", "extra", F.col("doc_id").desc_nulls_last(), "hash")
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
