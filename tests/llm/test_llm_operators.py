@@ -83,6 +83,30 @@ def test_store_keeps_every_row_through_compaction(spark, docs, tmp_path):
     assert store.expire() > 0 and store.read().count() == 3 * N
 
 
+def test_a_merge_keeps_columns_that_came_later(spark, tmp_path):
+    store = op01_sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=200_000, base_bytes=100_000, arrival_rows=2)
+    old = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "doc_id bigint, text string")
+    new = spark.createDataFrame([(i, [i], i / 2) for i in range(5)], "doc_id bigint, Extra array<int>, n double")
+    for rows in (old, new, old):
+        store.append(rows)
+    want = sorted([(i, f"t{i}", None, None) for i in range(7)] * 2 + [(i, None, [i], i / 2) for i in range(5)], key=str)
+    assert store.read().columns == ["doc_id", "text", "Extra", "n"] and sorted(map(tuple, store.read().collect()), key=str) == want
+    store.settle()
+    assert store.manifest().count() < 4 and sorted(map(tuple, store.read().collect()), key=str) == want
+    with pytest.raises(op01_sharding.SchemaConflict):
+        store.append(spark.createDataFrame([("x",)], "EXTRA string"))
+    assert store.read().count() == 19
+
+
+def test_a_store_without_rows(spark, docs, tmp_path):
+    store = op01_sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    assert store.read().count() == 0 and store.settle() == 0
+    store.append(docs.limit(0))
+    assert store.settle() == 1 and store.read().count() == 0 and store.read().columns == docs.columns
+    assert op01_sharding.round_trip(docs.limit(0), f"file://{tmp_path}/t").count() == 0
+    assert op01_sharding.round_trip(docs, f"file://{tmp_path}/u").count() == N
+
+
 # ------------------------------------------------------------ 2
 
 
@@ -357,6 +381,42 @@ def test_languages_on_held_out_rows(spark, sf_dir):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.98
 
 
+def plain_kneser_ney(texts):
+    """p(character | three before it) by the formulas, in dictionaries of strings."""
+    from collections import Counter
+
+    grams = Counter()
+    for t in texts:
+        x = "  " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        grams.update(g for i in range(len(x) - 3) if (g := x[i : i + 4]).strip())
+    orders = [grams]
+    for _ in range(3):
+        orders.append(Counter(g[1:] for g in orders[-1]))  # how many different characters stand before
+    letters = {g[-1] for g in grams}
+
+    def p(gram):
+        k = 4 - len(gram)
+        counts = orders[k]
+        ones, twos = (sum(v == x for v in counts.values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones else 0.5
+        of = [v for g, v in counts.items() if g[:-1] == gram[:-1]]
+        lower = p(gram[1:]) if len(gram) > 1 else 1 / (len(letters) + 1)
+        return max(counts[gram] - d, 0) / sum(of) + d * len(of) / sum(of) * lower if of else lower
+
+    return p
+
+
+def test_probabilities_are_those_of_the_formulas():
+    texts = ["the cat sat on the mat and ate", "a hat, a cat: that is that"]
+    p = plain_kneser_ney(texts)
+    key, n = np.unique(op07_langid.grams(texts)[0], return_counts=True)
+    model = op07_langid.Language(key, n, len(np.unique(key & np.uint64(0xFFFF))) + 1)
+    r = random.Random(3)
+    asked = ["".join(r.choice("abcdehimnost ") for _ in range(4)) for _ in range(150)] + ["the ", " cat", "that", "  th", "zzzz", "atzz"]
+    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in asked], np.uint64)
+    assert model.probability(packed) == pytest.approx([p(g) for g in asked], rel=1e-9)
+
+
 def test_a_language_of_rare_grams_is_kept(spark):
     """Over two million grams of one language, all met twice, beside a language whose grams are met once."""
     rng = np.random.default_rng(2)
@@ -364,12 +424,22 @@ def test_a_language_of_rare_grams_is_kept(spark):
     ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
     rows = [(i, t, "zz") for i, t in zip(ids, large * 2)] + [(ids[500], "the quick brown fox jumps over a lazy dog", "aa")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
-    model = op07_langid.fit(df)
-    assert model.names == ["aa", "zz"] and model.predict(["a brown dog jumps over the fox"])[0] == ["aa"]
+    table = op07_langid.learnt(df)
+    (model,) = op07_langid.blocks_of(table)
+    assert model.names == ["aa", "zz"]
+    ask = spark.createDataFrame([("a brown dog jumps over the fox",)], "text string")
+    assert op07_langid.entropies(ask, table).first()["name"] == "aa"
     key, _ = op07_langid.grams(large)
     assert len(model.languages[1].orders[0][1]) == len(np.unique(key)) > 2_000_000
 
 
+def test_blocks_of_languages_change_nothing(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows = lambda df: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in df.collect())
+    assert len(list(op07_langid.blocks_of(op07_langid.learnt(d), 1))) == d.where("lang is not null").select("lang").distinct().count() > 1
+    assert rows(op07_langid.identify(d)) == rows(op07_langid.identify(d, block_grams=1))
+
+
 def test_no_letter_is_undetermined(docs):
     got = {r["doc_id"]: r for r in op07_langid.identify(docs).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2)) and got[3]["lang_pred"] == "en"
@@ -428,6 +498,54 @@ def test_added_tokens_keep_their_ids(spark):
     assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
 
 
+def test_long_gaps_are_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, enc, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), op08_packing.encoder(op08_packing.ranks_path()), random.Random(2)
+    texts = [" " * 2_000_000, "\n" * 1_000_000 + "x", " \n" * 5_000 + "<|endoftext|>", "a" * 200_000, "!" * 200_000]
+    for _ in range(80):
+        parts = [x for _ in range(r.randrange(1, 6)) for x in (r.choice(["abc", "é!", "12", "<|endoftext|>", "'s", " x", ""]), r.choice([" ", "\n", "\t", "\r\n", "\u2003", "\xa0", "\x85", "\x1c", "\u3000 "]) * r.choice([1, 2, 4095, 4096, 4097, 5000]))]
+        texts.append("".join(parts) + r.choice(["", "end"]))
+    for t in texts:
+        assert op08_packing.encode(enc, t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_equal_rows_take_different_places(spark):
+    """Thousands of rows that no column tells apart, of an id that is NULL, over chunks of files of 100 rows; as few sequences as their tokens need."""
+    rows = op08_packing.place(spark.range(5000).select(F.lit(None).cast("bigint").alias("doc_id"), (F.col("id") % 2 * 24 + 500).alias("length")).repartition(3), group=100).collect()
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert len(places) == 5000 and all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
+    assert len({p[0] for p in places}) == 2500
+
+
+def fewest(lengths, capacity):
+    """The fewest sequences that hold the lengths, by trying all ways."""
+    from functools import cache
+
+    @cache
+    def need(left, rooms):
+        if not left:
+            return len(rooms)
+        best = need(left[1:], tuple(sorted([*rooms, capacity - left[0]])))
+        for i, room in enumerate(rooms):
+            if room >= left[0] and room not in rooms[:i]:
+                best = min(best, need(left[1:], tuple(sorted([*rooms[:i], room - left[0], *rooms[i + 1 :]]))))
+        return best
+
+    return need(tuple(sorted(lengths, reverse=True)), ())
+
+
+def test_sequences_are_about_as_few_as_can_be():
+    r, used, least = random.Random(12), 0, 0
+    for _ in range(60):
+        lengths = [r.randrange(1, 17) for _ in range(r.randrange(4, 9))]
+        histogram = {x: lengths.count(x) for x in lengths}
+        used += sum(g.times for g in op08_packing.plan(histogram, 16))
+        least += fewest(lengths, 16)
+    assert least <= used <= 1.05 * least
+
+
 # ------------------------------------------------------------ 9
 
 
@@ -455,10 +573,46 @@ def test_edits_follow_the_next_document(spark):
     assert op09_fingerprints.compare(df.where("doc_id = 9")).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("pieces", [1, 3, 40, 300])
+def test_zones_hold_hot_ids(spark, pieces):
+    """Half of the rows share an id or have none: every row has the next one of the order, whatever the zones."""
+    texts = [prose(3 + i % 17, i) for i in range(120)]
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    of_text = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), of_text[r[1]]))
+    zones = op09_fingerprints.with_next(df, pieces).collect()
+    assert sum(not z["extra"] for z in zones) == 120 and len({z["zone"] for z in zones}) <= max(2, 2 * pieces)
+    by_zone = {}
+    for z in sorted(zones, key=lambda z: (z["zone"], z["extra"], z["doc_id"] is None, -(z["doc_id"] or 0), z["hash"])):
+        by_zone.setdefault(z["zone"], []).append((z["doc_id"], z["text"]))
+    found = [(a, b) for zone in sorted(by_zone) for a, b in zip(by_zone[zone], by_zone[zone][1:])]
+    assert found == list(zip(order, [*order[1:], order[0]]))
+    if pieces == 40:
+        assert max(map(len, by_zone.values())) <= 12
+
+
+def test_extents_are_the_longest_common_extensions():
+    """The common beginning and end that two fingerprints tell are the true ones, to the fixed length below them."""
+    f = lambda t: op09_fingerprints.fingerprint(op09_fingerprints.codes_of(t)).split(":")
+    P = lambda t: op09_fingerprints.Prefix(op09_fingerprints.codes_of(t))
+    r = random.Random(5)
+    for _ in range(60):
+        head, tail = ("".join(r.choice("abcd ") for _ in range(r.randrange(400))) for _ in range(2))
+        s, t = (head + x + "".join(r.choice("efgh") for _ in range(r.randrange(40))) + y + tail for x, y in (("X", "Z"), ("Y", "W")))
+        begin = op09_fingerprints.longest_common_extension(P(s), 0, P(t), 0)
+        end = op09_fingerprints.longest_common_extension(P(s[::-1]), 0, P(t[::-1]), 0)
+        assert (begin, end) == (len(head), len(tail))
+        below = lambda n: max((int(c) for c in op09_fingerprints.cuts(1 << 20) if c <= n), default=0)
+        assert op09_fingerprints.extent(f(s)[2], f(t)[2]) == below(begin) and op09_fingerprints.extent(f(s)[3], f(t)[3]) == below(end)
+
+
 def test_likeness():
     f = lambda t: op09_fingerprints.fingerprint(op09_fingerprints.codes_of(t))
     a, b = prose(300, 1), prose(300, 2)
     assert op09_fingerprints.likeness(f(a), f(a)) == 1 and op09_fingerprints.likeness(f(a), f(a + " x")) > 0.8 > 0.3 > op09_fingerprints.likeness(f(a), f(b)) and op09_fingerprints.likeness(f(""), f(a)) == 0
+    half = a[: len(a) // 2] + b[len(b) // 2 :]
+    assert 0.4 <= op09_fingerprints.likeness(f(a), f(half)) <= 0.6 and 0.4 <= op09_fingerprints.likeness(f(half), f(b)) <= 0.6
 
 
 # ------------------------------------------------------------ 10
@@ -490,6 +644,33 @@ def test_trigram_queries_hold_on_matches():
     assert op10_secrets.trigram_query("abcd|xyz") == {frozenset({"abc", "bcd"}), frozenset({"xyz"})}
 
 
+def brute_redaction(text, spans):
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def test_long_texts_full_of_secrets(spark):
+    """5 MB of text, 10,000 matches, and columns named as the scan's own; ids are text."""
+    texts = [" ".join(f"{i * 2654435761:016x}" for i in range(10_000)) + " \U0001f600é " + "lorem ipsum " * 400_000, "é token=abcdefghijklmnop\n" * 3000, "secret=token=abcdefghijkl 0123456789abcdef"]
+    df = spark.createDataFrame([(f"id{i}", t, "a", "b", "c") for i, t in enumerate(texts)], "doc_id string, text string, spans string, candidate_id string, candidate_kinds string")
+    found = {r["doc_id"]: r for r in op10_secrets.scan(df).collect()}
+    clean = {r["doc_id"]: r for r in op10_secrets.redact(op10_secrets.scan(df), spans_col="spans_").collect()}
+    for i, t in enumerate(texts):
+        got = found[f"id{i}"]
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in got["spans_"]) == base_spans(t)
+        assert (got["spans"], got["candidate_id"], got["candidate_kinds"]) == ("a", "b", "c")
+        assert clean[f"id{i}"]["text"] == brute_redaction(t, got["spans_"]) and clean[f"id{i}"]["spans"] == "a"
+
+
+def test_prefix_tree():
+    words = ["abc", "abd", "a-c", "xyz", "[]]"]
+    assert re.findall(f"(?=({op10_secrets.prefix_tree(words)}))", "abcabda-cxyz[]]ab") == ["abc", "abd", "a-c", "xyz", "[]]"]
+
+
 def test_small_blocks_and_redaction(docs):
     a = {(r["doc_id"], r["text"]): r["spans"] for r in op10_secrets.scan(docs.drop("spans"), block_rows=2, broadcast_ids=0).collect()}
     assert len(a) == N - 1 and [s["kind"] for s in a[5, TEXTS[5]]] == ["assign"]
