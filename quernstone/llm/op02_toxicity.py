@@ -2,10 +2,15 @@
 
 Tokens are words and their first 4, 5 and 6 bytes, ASCII case folded. Their weights are log-odds between
 toxic and other labelled texts with an informative Dirichlet prior (the pooled frequencies, alpha_0
-pseudo-counts); tokens whose z-score reaches 3 are significant. A word scores the weight of its most specific
+pseudo-counts); tokens whose z-score reaches 3 are significant, and all of them are kept. A word scores the weight of its most specific
 significant token, any other word a small constant loss, so that the expected score is negative. The linear-time
-scan of Ruzzo and Tompa finds all maximal segments of a text; each has an expected number E of such
-segments in a non-toxic text of that length (Karlin and Altschul: E = K n exp(-lambda S)), and the
+scan of Ruzzo and Tompa finds all maximal segments of a text.
+
+Segments are calibrated by extreme values. In a non-toxic text of n words the largest segment score M follows
+P(M <= S) = exp(-K n exp(-lambda S)). lambda is the root of E[exp(lambda s)] = 1 over the scores s of the words of the
+sample's other texts, each weight with its own frequency. K is the maximum-likelihood fit to the largest scores of those
+texts, of which those without a gaining word are censored at 0: K = (texts with a score) / (sum of n exp(-lambda M) over these + sum of n
+over the others). A segment of score S has the expected number E = K n exp(-lambda S) in such a text, and the
 evidence of a text is the sum of -ln E over segments with E < 1. A logistic curve, fitted on the same bounded
 sample, maps evidence to a score.
 
@@ -25,14 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import PUNCT, chunks, held_out, labelled_sample, logistic, mix64, span_hashes, text_bytes, word_spans
+from quernstone.llm._common import PUNCT, chunks, held_out, labelled_sample, logistic, materialise, mix64, span_hashes, text_bytes, word_spans
 
 PRIOR, SIGNIFICANT = 10_000.0, 3.0
 #: Loss of a word without a significant token: the log of what toxic passages have besides such words, at one in 50.
 LOSS = float(np.log(1 - 1 / 50))
 PREFIXES = (6, 5, 4)
-#: Significant tokens that a model keeps at most: 16 bytes each in every worker.
-MOST_TOKENS = 100_000
 _BITS = 1 << 18
 
 
@@ -93,8 +96,8 @@ class Model:
                 out[maybe[hit]] = self.weights[at[hit]]
         return out
 
-    def passages(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[tuple[int, int, float, float]]]]:
-        """For each row: its words and the significant segments (first word, last word, score, E)."""
+    def segments(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[tuple[int, int, float]]]]:
+        """For each row: its words and all maximal segments (first word, last word, score)."""
         out = []
         for a, b in chunks(offsets):
             kinds, row = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -104,10 +107,15 @@ class Model:
             of: dict[int, list] = {}
             for i, r in zip(hit.tolist(), row[hit].tolist()):
                 of.setdefault(r, []).append((i - int(begin[r]), float(gain[i])))
-            for r in range(b - a):
-                n = int(begin[r + 1] - begin[r])
-                found = [(*s, n * self.rate * float(np.exp(-self.decay * s[2]))) for s in maximal_segments(of[r])] if r in of else []
-                out.append((n, [s for s in found if s[3] < 1]))
+            out += [(int(begin[r + 1] - begin[r]), maximal_segments(of[r]) if r in of else []) for r in range(b - a)]
+        return out
+
+    def passages(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[tuple[int, int, float, float]]]]:
+        """For each row: its words and the significant segments (first word, last word, score, E)."""
+        out = []
+        for n, found in self.segments(data, offsets):
+            expected = [(*s, n * self.rate * float(np.exp(-self.decay * s[2]))) for s in found]
+            out.append((n, [s for s in expected if s[3] < 1]))
         return out
 
     def evidence(self, segments) -> float:
@@ -118,8 +126,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(evidence), -30, 30)))
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """(token, toxic, other): in how many of the sample's texts each token is, near-copies counted once."""
+def _once(sample: DataFrame) -> DataFrame:
+    """The sample with one text of each group of near-copies, written."""
 
     def shingles(batches):
         import pyarrow as pa
@@ -144,6 +152,12 @@ def _counts(sample: DataFrame) -> DataFrame:
             key = np.where(np.diff(offsets) > 0, key, np.uint64(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key.view(np.int64))], names=["text", "label", "key"])
 
+    return materialise(sample.mapInArrow(shingles, "text string, label int, key bigint").groupBy("key", "label").agg(F.min("text").alias("text")).select("text", "label"), "sample-once")
+
+
+def _counts(sample: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """(token, toxic, other): in how many of the sample's texts each token is, near-copies counted once."""
+
     def count(batches):
         import pyarrow as pa
 
@@ -159,34 +173,66 @@ def _counts(sample: DataFrame) -> DataFrame:
             n = np.diff(np.concatenate([first, [len(pair)]]))
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(toxic), pa.array(n - toxic)], names=["token", "toxic", "other"])
 
-    once = sample.mapInArrow(shingles, "text string, label int, key bigint").dropDuplicates(["key", "label"])
-    return once.select("text", "label").mapInArrow(count, "token bigint, toxic bigint, other bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    once = _once(sample) if once is None else once
+    return once.mapInArrow(count, "token bigint, toxic bigint, other bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def decay_of(scores: np.ndarray, times: np.ndarray) -> float:
+    """lambda: the positive root of E[exp(lambda s)] = 1 over word scores that are met so many times each; their mean is negative."""
+    share = times / max(times.sum(), 1)
+    excess = lambda x: float((share * np.exp(np.minimum(x * scores, 700))).sum()) - 1
+    low, high = 1e-6, 1.0
+    while excess(high) < 0 and high < 64:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
+    return low
+
+
+def rate_of(words: np.ndarray, largest: np.ndarray, decay: float) -> float:
+    """K: most likely for texts of so many words with these largest scores; 0 is none, and says only that none lies above 0."""
+    scored = largest > 0
+    return float((scored.sum() + 0.5) / ((words * np.exp(-decay * largest)).sum() + 1.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from up to SAMPLE labelled rows outside the held-out fold."""
-    from quernstone.llm._common import materialise
-
     sample = labelled_sample(docs, labels, "toxic")
-    counts = materialise(_counts(sample), "token-counts")
+    once = _once(sample)
+    counts = materialise(_counts(sample, once), "token-counts")
     totals = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)).cast("double").alias("t"), F.coalesce(F.sum("other"), F.lit(0)).cast("double").alias("o")).first()
     t, o = totals["t"], totals["o"]
     a0 = F.lit(PRIOR)
     a = a0 * (F.col("toxic") + F.col("other")) / F.lit(max(t + o, 1.0))
     odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n) + a0 - F.col(y) - a))
     scored = counts.withColumn("weight", odds("toxic", t) - odds("other", o)).withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a)))
-    found = scored.where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).select("token", "weight", "toxic", "other").collect()
-    hashes = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    found = scored.where(F.col("z") >= SIGNIFICANT).select("token", "weight").toArrow()  # tokens of SAMPLE texts at most
+    hashes = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    weights = np.array([r["weight"] for r in found], float)[order]
-    # Chance of a significant token in a word of other texts, and the root of E[exp(lambda score)] = 1.
-    rate = (sum(r["other"] for r in found) + 1.0) / (o + 1.0)
-    mean = float(weights.mean()) if len(weights) else 1.0
-    low, high = 1e-6, 10.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if rate * np.exp(min(middle * mean, 700)) + (1 - rate) * np.exp(middle * LOSS) < 1 else (low, middle)
-    model = Model(hashes[order], weights, low, rate, (0.0, 0.0))
+    model = Model(hashes[order], found.column("weight").to_numpy()[order], 1.0, 1.0, (0.0, 0.0))
+
+    def background(batches):
+        """Of the other texts: how many words have each score, and each text's words and largest segment score."""
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for x, y in chunks(offsets):
+                gain = model.gains(tokens(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])[0])
+                score, times = np.unique(np.where(gain > 0, gain, LOSS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(score), np.int32)), pa.array(score), pa.array(times)], names=["kind", "score", "n"])
+            texts = model.segments(data, offsets)
+            largest = [max((z for _, _, z in found), default=0.0) for _, found in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(texts), np.int32)), pa.array(largest, pa.float64()), pa.array([n for n, _ in texts], pa.int64())], names=["kind", "score", "n"])
+
+    met = once.where("label = 0").select("text").mapInArrow(background, "kind int, score double, n bigint")
+    met = met.groupBy("kind", "score", F.when(F.col("kind") == 1, F.col("n")).alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("texts")).toArrow()  # a row a weight, and a row a text at most
+    kind, score, words, n, texts = (met.column(c).to_numpy() for c in ("kind", "score", "words", "n", "texts"))
+    if (kind == 0).any():
+        model.decay = decay_of(score[kind == 0], n[kind == 0])
+        of = kind == 1
+        model.rate = rate_of(np.repeat(words[of], texts[of]), np.repeat(score[of], texts[of]), model.decay)
 
     def weigh(batches):
         import pyarrow as pa
@@ -195,9 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             found = [model.evidence(s) for _, s in model.passages(*text_bytes(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], names=["evidence", "label"])
 
-    pairs = sample.select("text", "label").mapInArrow(weigh, "evidence double, label int").collect()  # SAMPLE rows at most
-    x = np.log1p(np.array([r["evidence"] for r in pairs], float))
-    y = np.array([r["label"] for r in pairs], float)
+    pairs = sample.select("text", "label").mapInArrow(weigh, "evidence double, label int").toArrow()  # SAMPLE rows at most
+    x = np.log1p(pairs.column("evidence").to_numpy())
+    y = pairs.column("label").to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = tuple(float(v) for v in logistic(np.stack([np.ones(len(x)), x], axis=1), y, 1e-4))
     else:
