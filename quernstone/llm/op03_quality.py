@@ -1,14 +1,15 @@
 """Quality classification by a factorisation machine.
 
-Inputs of a text are its hashed words (frequency, length-normalised), statistics of its structure (characters by
-class, lines, repetition, word and sentence lengths) and its sizes. The machine adds to a linear model the
+Inputs of a text are its hashed words (the frequencies of words that share a bucket are added up; length-normalised), statistics of its
+structure (characters by class, lines, repetition, word and sentence lengths) and metadata: the number of characters that the
+table states for it and whether it states one (labels, lang, source and doc_id are no inputs). The machine adds to a linear model the
 interaction <v_i, v_j> x_i x_j of every pair of inputs, and scores it in linear time by the identity
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2). It is fitted by Adagrad on a
 bounded sample of labelled rows, classes weighted alike.
 
 Defined results: a NULL text is empty; empty texts are scored by their (zero) statistics; a NULL doc_id is not held
 out and never learnt from; repeated rows are scored each; without labels every score is 0.5; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; a table without n_chars, or with NULL, states no length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import PUNCT, SPACE, chunks, held_out, labelled_sample, logistic, span_hashes, text_bytes, word_spans
+from quernstone.llm._common import PUNCT, SPACE, chunks, held_out, labelled_sample, logistic, span_hashes, text_bytes, with_metadata, word_spans
 
-#: Labelled rows of the fit; hashed words; factors; passes over the sample.
+#: Labelled rows of the fit; hashed words; factors; passes over the sample. On the driver a row of the sample has 12 bytes for each bucket
+#: that its words are in, of which there are WORDS: 1.6 GB at the very most, 21 MB in practice.
 SAMPLE, WORDS, FACTORS, EPOCHS = 8_000, 1 << 14, 8, 4
 THRESHOLD = 0.3
+METADATA = ("n_chars",)
 
 STATISTICS = (
     "log bytes", "log words", "log lines", "capitals", "digits", "punctuation", "symbols", "beyond ASCII", "exclamation marks", "full stops", "bars",
     "spaces", "all-capital words", "word length", "distinct words", "longest word", "repeated lines", "words a line", "one-word lines", "words with symbols",
+    "stated characters", "no stated length",
 )
 
 _NEWLINE = np.zeros(256, bool)
@@ -52,8 +56,8 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(statistics [rows, k], word inputs' row, column, value) of a chunk of texts."""
+def features(data: np.ndarray, offsets: np.ndarray, stated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics [rows, k], word inputs' row, column, value) of a chunk of texts; no row has a column twice. stated: n_chars, NaN where unknown."""
     rows = len(offsets) - 1
     size = np.diff(offsets).astype(float)
     share = lambda t: _sums(t[data], offsets) / np.maximum(size, 1)
@@ -82,11 +86,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             np.log1p(size), np.log1p(n), np.log1p(lines), share(_CAPITAL), share(_DIGIT), share(_POINTS), share(_SYMBOLS), share(_FAR), share(_ONE["!"]), share(_ONE["."]), share(_ONE["|"]),
             share(_GAP), per(shouted, n), per(end - start, n), np.bincount(of, minlength=rows) / np.maximum(n, 1), np.log1p(longest), 1 - different / np.maximum(lines, 1), n / np.maximum(lines, 1),
             np.bincount(line_row, weights=in_line <= 1, minlength=rows) / np.maximum(lines, 1), marked,
+            np.log1p(np.maximum(np.nan_to_num(stated), 0)), np.isnan(stated).astype(float),
         ],
         axis=1,
     )
-    norm = np.sqrt(np.bincount(of, weights=times.astype(float) ** 2, minlength=rows))
-    return stats, of, (distinct[:, 1] % np.uint64(WORDS)).astype(np.int64), times / np.maximum(norm[of], 1e-9)
+    place, back = np.unique(of * WORDS + (distinct[:, 1] % np.uint64(WORDS)).astype(np.int64), return_inverse=True)
+    value = np.bincount(back, weights=times, minlength=len(place))
+    of = place // WORDS
+    norm = np.sqrt(np.bincount(of, weights=value**2, minlength=rows))
+    return stats, of, place % WORDS, value / np.maximum(norm[of], 1e-9)
 
 
 @dataclass
@@ -116,10 +124,10 @@ class Machine:
         squares = np.add.reduceat((v * v).sum(1), first)
         return self.bias + np.add.reduceat(self.linear[column] * value, first) + 0.5 * ((sums * sums).sum(1) - squares), sums
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def score(self, data: np.ndarray, offsets: np.ndarray, stated: np.ndarray) -> np.ndarray:
         out = [np.zeros(0)]
         for a, b in chunks(offsets):
-            found = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], stated[a:b])
             y, _ = self.margin(*self.inputs(*found), b - a)
             out.append(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * y, -30, 30))))
         return np.concatenate(out)
@@ -159,22 +167,23 @@ def train(stats, row, column, value, y, seed: int = 3) -> Machine:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine of up to SAMPLE labelled rows; a fifth of them sets the curve from its output to a score."""
-    sample = labelled_sample(docs, labels, "quality", SAMPLE)
+    sample = labelled_sample(docs, labels, "quality", SAMPLE, METADATA)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
+            stated = batch.column(2).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
-                stats, row, column, value = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                stats, row, column, value = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], stated[a:b])
                 cut = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (column.astype(np.int32), value.astype(np.float32))]
                 k = stats.shape[1]
                 lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * k, k, dtype=np.int32)), pa.array(stats.ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *lists], names=["label", "column", "value", "stats"])
 
-    table = sample.mapInArrow(run, "label int, column array<int>, value array<float>, stats array<double>").toArrow().combine_chunks()
+    table = sample.select("text", "label", *METADATA).mapInArrow(run, "label int, column array<int>, value array<float>, stats array<double>").toArrow().combine_chunks()
     y = (table.column("label").to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         k = len(STATISTICS)
@@ -206,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(*text_bytes(batch.column(1))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(*text_bytes(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text", with_metadata(docs, "n_chars").alias("n_chars")).mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
