@@ -155,6 +155,84 @@ def test_short_texts_count_once_each(spark):
     assert op02_toxicity._counts(sample).where(F.col("token") == int(token)).first()["toxic"] == 2501
 
 
+def test_calibration_by_definition():
+    """lambda solves the equation; K is where the likelihood of largest scores, some censored at 0, is highest; segments of random texts are as rare as E says."""
+    rng = np.random.default_rng(7)
+    scores, times = np.array([op02_toxicity.LOSS, 0.8, 2.5]), np.array([9_900_000, 60_000, 40_000])
+    decay = op02_toxicity.decay_of(scores, times)
+    assert (times / times.sum() * np.exp(decay * scores)).sum() == pytest.approx(1, abs=1e-9) and decay > 0.01
+    words = rng.integers(50, 800, 3000)
+    largest = []
+    for n in words:
+        drawn = rng.choice(scores, n, p=times / times.sum())
+        hits = [(int(i), float(drawn[i])) for i in np.flatnonzero(drawn > 0)]
+        largest.append(max((s for _, _, s in op02_toxicity.maximal_segments(hits)), default=0.0))
+    largest = np.array(largest)
+    rate = op02_toxicity.rate_of(words, largest, decay)
+
+    def likelihood(k):
+        seen = largest > 0
+        return (np.log(k * words[seen] * decay) - decay * largest[seen] - k * words[seen] * np.exp(-decay * largest[seen])).sum() - (k * words[~seen]).sum()
+
+    assert all(likelihood(rate) >= likelihood(rate * f) for f in (0.9, 1.1))
+    high = np.quantile(largest, 0.97)
+    said = 1 - np.exp(-rate * words * np.exp(-decay * high))
+    assert said.mean() == pytest.approx((largest > high).mean(), abs=0.03)
+
+
+def test_weights_and_scores_by_definition(spark):
+    """Log-odds with Dirichlet priors, significance, evidence and score, on a few texts, against plain loops."""
+    from collections import Counter
+    from math import exp, log, log1p, sqrt
+
+    tune(spark)
+    r = random.Random(3)
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5]
+    texts = {i: (prose(30, i) + (" vile swine" if i % 3 == 0 else "") + (" vile" if i % 50 == 1 else "") + " " + prose(r.randrange(60), 9000 + i)) for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id bigint, toxic int")
+    model = op02_toxicity.fit(docs, labels)
+    kinds = {i: [[w, *[(w[:k], k) if len(w) > k else None for k in op02_toxicity.PREFIXES]] for w in re.findall("[a-z0-9]+", t.lower())] for i, t in texts.items()}
+    n = {1: Counter(), 0: Counter()}
+    for i in ids:
+        n[int(i % 3 == 0)].update({x for w in kinds[i] for x in w if x})
+    t, o = (sum(n[y].values()) for y in (1, 0))
+    weight = {}
+    for x in set(n[1]) | set(n[0]):
+        a = op02_toxicity.PRIOR * (n[1][x] + n[0][x]) / (t + o)
+        odds = [log((n[y][x] + a) / (total + op02_toxicity.PRIOR - n[y][x] - a)) for y, total in ((1, t), (0, o))]
+        if (odds[0] - odds[1]) / sqrt(1 / (n[1][x] + a) + 1 / (n[0][x] + a)) >= op02_toxicity.SIGNIFICANT:
+            weight[x] = odds[0] - odds[1]
+    assert {"vile", "swine"} <= set(weight) and np.sort(model.weights) == pytest.approx(np.sort(list(weight.values())))
+    gains = {i: [next((weight[x] for x in w if x in weight), op02_toxicity.LOSS) for w in kinds[i]] for i in ids}
+    met = Counter(g for i in ids if i % 3 for g in gains[i])
+    assert model.decay == pytest.approx(op02_toxicity.decay_of(np.array(list(met)), np.array(list(met.values()))), rel=1e-6)
+    got = {x["doc_id"]: x["score"] for x in op02_toxicity.score(docs, model).collect()}
+    for i in ids[:40]:
+        expected = [len(gains[i]) * model.rate * exp(-model.decay * s) for _, _, s in brute_segments(gains[i])]
+        evidence = sum(-log(max(e, 1e-12)) for e in expected if e < 1)
+        assert got[i] == pytest.approx(1 / (1 + exp(-(model.curve[0] + model.curve[1] * log1p(evidence)))), abs=1e-4)
+
+
+def test_words_of_one_bucket_are_one_input():
+    """3,000 words, of which hundreds share a bucket: the margin is the sum over pairs of distinct inputs."""
+    data = np.frombuffer(" ".join(f"word{i}" for i in range(3000)).encode(), np.uint8)
+    stats, row, column, value = op03_quality.features(data, np.array([0, len(data)]), np.array([np.nan]))
+    assert len(np.unique(column)) == len(column) < 2900 and (value**2).sum() == pytest.approx(1) and set(row) == {0}
+    rng, k = np.random.default_rng(1), len(op03_quality.STATISTICS)
+    assert stats.shape == (1, k)
+    m = op03_quality.Machine(0.1, rng.normal(size=op03_quality.WORDS + k), rng.normal(size=(op03_quality.WORDS + k, op03_quality.FACTORS)), np.zeros(k), np.ones(k))
+    r, c, x = m.inputs(stats, row, column, value)
+    full = (m.factors[c] * x[:, None]) @ (m.factors[c] * x[:, None]).T
+    assert m.margin(r, c, x, 1)[0][0] == pytest.approx(0.1 + m.linear[c] @ x + np.triu(full, 1).sum())
+
+
+def test_stated_lengths_are_inputs():
+    data, offsets = np.frombuffer(b"same textsame text", np.uint8), np.array([0, 9, 18])
+    a, b = op03_quality.features(data, offsets, np.array([9.0, np.nan]))[0]
+    assert a[-2:].tolist() == [np.log1p(9), 0] and b[-2:].tolist() == [0, 1] and (a[:-2] == b[:-2]).all()
+
+
 def test_machine_matches_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     k = len(op03_quality.STATISTICS)
