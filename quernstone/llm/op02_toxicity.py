@@ -9,8 +9,8 @@ scan of Ruzzo and Tompa finds all maximal segments of a text.
 Segments are calibrated by extreme values. In a non-toxic text of n words the largest segment score M follows
 P(M <= S) = exp(-K n exp(-lambda S)). lambda is the root of E[exp(lambda s)] = 1 over the scores s of the words of the
 sample's other texts, each weight with its own frequency. K is the maximum-likelihood fit to the largest scores of those
-texts, of which those without a gaining word are censored at 0: K = (texts with a score) / (sum of n exp(-lambda M) over these + sum of n
-over the others). A segment of score S has the expected number E = K n exp(-lambda S) in such a text, and the
+texts; as the law is one of high scores, those below the quantile TAIL, c, are censored there: K = (texts with M > c) / (sum of
+n exp(-lambda max(M, c))). A segment of score S has the expected number E = K n exp(-lambda S) in such a text, and the
 evidence of a text is the sum of -ln E over segments with E < 1. A logistic curve, fitted on the same bounded
 sample, maps evidence to a score.
 
@@ -36,6 +36,8 @@ PRIOR, SIGNIFICANT = 10_000.0, 3.0
 #: Loss of a word without a significant token: the log of what toxic passages have besides such words, at one in 50.
 LOSS = float(np.log(1 - 1 / 50))
 PREFIXES = (6, 5, 4)
+#: Quantile of the largest scores of other texts from which on they count for K.
+TAIL = 0.9
 _BITS = 1 << 18
 
 
@@ -190,10 +192,12 @@ def decay_of(scores: np.ndarray, times: np.ndarray) -> float:
     return low
 
 
-def rate_of(words: np.ndarray, largest: np.ndarray, decay: float) -> float:
-    """K: most likely for texts of so many words with these largest scores; 0 is none, and says only that none lies above 0."""
-    scored = largest > 0
-    return float((scored.sum() + 0.5) / ((words * np.exp(-decay * largest)).sum() + 1.0))
+def rate_of(words: np.ndarray, largest: np.ndarray, decay: float, tail: float = TAIL) -> float:
+    """K: most likely for texts of so many words with these largest scores, of which those up to the `tail` quantile say only that they lie below it."""
+    if not len(largest):
+        return 1.0
+    least = float(np.quantile(largest, tail, method="lower"))
+    return float(((largest > least).sum() + 0.5) / ((words * np.exp(-decay * np.maximum(largest, least))).sum() + 1.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
