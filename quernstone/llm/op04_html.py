@@ -10,16 +10,23 @@ inline style of display:none or visibility:hidden; closed dialogs; closed detail
 replaced elements (object, video, iframe, ...). Style sheets and scripts are not evaluated. White space collapses as on a
 page; a no-break space becomes a space.
 
+Time and memory grow in proportion to the page, whatever its markup: tags are found through the places of quotes and of ">", open elements
+through the places of their names on the stack, and the tree is walked without recursion, to any depth. Three rules keep
+the output in proportion as well, and none of them leaves out text: indents grow up to 32 levels; in a cell, rows and
+cells of a further table are separated by a space; a cell of over 200 characters does not widen its columns, and a table
+that would be wider than 1,000 has two spaces between cells.
+
 Defined results: NULL or empty HTML gives an empty text and a NULL title; broken markup never fails: unknown end tags
-are ignored, open elements end with their parent, a "<" that starts no tag is text, nesting beyond 200
-levels is flattened; a NULL page_id or url is carried; repeated rows are rendered each; an empty table gives an
-empty result; other columns are ignored.
+are ignored, open elements end with their parent, a "<" that starts no tag is text; a NULL page_id or url is
+carried; repeated rows are rendered each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -52,9 +59,12 @@ P_BARRIER = frozenset("table td th caption button object html".split())
 CELL_BARRIER = frozenset(["table"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("base link meta title script style template noscript".split())
-DEEPEST = 200
+#: Levels of indent; characters of a cell that can widen a column; width of a table that is aligned.
+MOST_INDENT, WIDE_CELL, WIDE_TABLE = 32, 200, 1_000
 
-_TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""", re.S)
+_OPEN = re.compile(r"<(?=[a-zA-Z!?/])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -76,79 +86,140 @@ class Node:
         return None
 
 
+class _Ends:
+    """Where tags end: the first ">" that stands in no quotes; if the quotes don't close, the first one at all."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.at = [m.start() for m in re.finditer("[>\"']", page)]
+        # From the last mark to the first: the end of a tag whose first mark this one is.
+        self.end = [-1] * (len(self.at) + 1)
+        following: dict[str, int] = {}
+        for i in range(len(self.at) - 1, -1, -1):
+            mark = page[self.at[i]]
+            if mark == ">":
+                self.end[i] = self.at[i]
+            else:
+                self.end[i] = self.end[following[mark] + 1] if mark in following else -1
+                following[mark] = i
+        self.last = page.rfind(">")
+
+    def after(self, place: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin here; -1 if none does."""
+        if place > self.last:
+            return -1
+        end = self.end[bisect_left(self.at, place)]
+        return end if end >= 0 else self.page.find(">", place)
+
+
+class _Stack:
+    """Open elements, and the places of each name among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.top.children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().tag].pop()
+
+    def innermost(self, names: frozenset) -> int:
+        return max((places[-1] for n in names if (places := self.places.get(n))), default=0)
+
+    def close(self, names: frozenset, barriers: frozenset) -> None:
+        """Ends the innermost element of these names, and what is in it, unless a barrier stands in it; of several names, all such elements."""
+        while (i := self.innermost(names)) and i > self.innermost(barriers - names):
+            while len(self.nodes) > i:
+                self.pop()
+            if len(names) == 1:
+                break
+
+
+_P = frozenset(["p"])
+_OF_TABLES = frozenset("tr td th tbody thead tfoot".split())
+_CELLS = frozenset("td th table".split())
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text is a str among the children."""
     root = Node("#root")
-    open_ = [root]
-
-    def close(names: frozenset, barriers: frozenset) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in names:
-                del open_[i:]
-                return close(names, barriers) if len(names) > 1 else None
-            if open_[i].tag in barriers:
-                return None
-        return None
-
-    def push(tag: str, attributes: str = "") -> None:
-        node = Node(tag, attributes)
-        open_[-1].children.append(node)
-        if len(open_) < DEEPEST:
-            open_.append(node)
+    open_, ends = _Stack(root), _Ends(page)
 
     def start(tag: str, attributes: str) -> None:
-        if open_[-1].tag == "head" and tag not in IN_HEAD:
+        if open_.top.tag == "head" and tag not in IN_HEAD:
             open_.pop()  # the head ends where something visible begins
         if tag in CLOSES_P:
-            close(frozenset(["p"]), P_BARRIER)
+            open_.close(_P, P_BARRIER)
         if tag in ENDS:
-            close(*ENDS[tag])
-        if tag in HEADINGS and open_[-1].tag in HEADINGS:
+            open_.close(*ENDS[tag])
+        if tag in HEADINGS and open_.top.tag in HEADINGS:
             open_.pop()
-        top = open_[-1].tag
+        top = open_.top.tag
         if tag == "tr" and top == "table":
-            push("tbody")
+            open_.push(Node("tbody"))
         elif tag in ("td", "th") and top in ("table", "tbody", "thead", "tfoot"):
             if top == "table":
-                push("tbody")
-            push("tr")
+                open_.push(Node("tbody"))
+            open_.push(Node("tr"))
         if tag in VOID:
-            open_[-1].children.append(Node(tag, attributes))
+            open_.top.children.append(Node(tag, attributes))
         else:
-            push(tag, attributes)
+            open_.push(Node(tag, attributes))
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            if open_[-1].tag == "head" and text.strip():
+    def text(begin: int, end: int) -> None:
+        said = page[begin:end]
+        if said:
+            if open_.top.tag == "head" and said.strip():
                 open_.pop()
-            open_[-1].children.append(html.unescape(text) if "&" in text else text)
-        if not m:
-            return root
-        at = m.end()
-        name = m[2] or m[5]
+            open_.top.children.append(html.unescape(said) if "&" in said else said)
+
+    at = seen = 0  # text from `at` on is not taken yet; tags are looked for from `seen` on
+    while m := _OPEN.search(page, seen):
+        begin = m.start()
+        if page.startswith("<!--", begin):
+            text(at, begin)
+            end = _COMMENT_END.search(page, begin + 4)
+            at = seen = end.end() if end else len(page)
+            continue
+        name = _NAME.match(page, begin + 1 + (page[begin + 1] == "/"))
+        end = ends.after(name.end()) if name else page.find(">", begin) if begin < ends.last else -1
+        if end < 0 or not name and end == begin + 1:
+            if begin > ends.last:
+                break  # no tag ends from here on
+            seen = begin + 1
+            continue
+        text(at, begin)
+        at = seen = end + 1
         if not name:
             continue
-        tag = name.lower()
-        if m[1] or m[4]:
+        tag = name[0].lower()
+        if page[begin + 1] == "/":
             if tag == "p":
-                close(frozenset([tag]), P_BARRIER)
+                open_.close(_P, P_BARRIER)
             elif tag in HEADINGS:
-                close(HEADINGS, P_BARRIER)
+                open_.close(HEADINGS, P_BARRIER)
             else:
-                close(frozenset([tag]), frozenset() if tag in ("table", "body", "html") else CELL_BARRIER if tag in ("tr", "td", "th", "tbody", "thead", "tfoot") else frozenset("td th table".split()))
+                open_.close(frozenset([tag]), frozenset() if tag in ("table", "body", "html") else CELL_BARRIER if tag in _OF_TABLES else _CELLS)
             continue
-        start(tag, m[3] or m[6] or "")
+        start(tag, page[name.end() : end])
         if tag in RAW or tag in RCDATA:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            inside = page[at : end.start()]
-            if open_[-1].tag == tag:
-                if inside:
-                    open_[-1].children.append(html.unescape(inside) if tag in RCDATA else inside)
-                open_.pop()
-            at = end.end()
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = m.start() if m else len(page)
+            inside = page[at:stop]
+            if inside:
+                open_.top.children.append(html.unescape(inside) if tag in RCDATA else inside)
+            open_.pop()
+            end = page.find(">", m.end()) if m else -1
+            at = seen = end + 1 if end >= 0 else len(page)
+    text(at, len(page))
+    return root
 
 
 def visible(node: Node) -> bool:
@@ -165,20 +236,31 @@ def visible(node: Node) -> bool:
 
 
 class _Page:
-    """Lines under construction."""
+    """Lines under construction. In a cell (flat) tables have no grid."""
 
-    def __init__(self):
+    def __init__(self, flat: bool = False):
         self.lines: list[str] = []
         self.inline: list[str] = []
-        self.indent = ""
+        self.indents = [""]
         self.marker = ""
         self.gap: str | None = None  # the indent of a blank line that is due
+        self.flat = flat
+
+    @property
+    def indent(self) -> str:
+        return self.indents[-1]
+
+    def deeper(self, by: str) -> None:
+        self.indents.append(self.indent + by if len(self.indents) <= MOST_INDENT else self.indent)
+
+    def back(self) -> None:
+        self.indents.pop()
 
     def line(self, text: str) -> None:
         if self.gap is not None:
             self.lines.append(self.gap.rstrip())
         self.gap = None
-        self.lines.append((self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent) + text)
+        self.lines.append((self.indent[: max(0, len(self.indent) - len(self.marker))] + self.marker if self.marker else self.indent) + text)
         self.marker = ""
 
     def flush(self) -> None:
@@ -193,22 +275,84 @@ class _Page:
             self.gap = self.indent
 
 
-def _cell(node: Node) -> str:
-    inner = _Page()
-    for child in node.children:
-        _render(child, inner)
-    inner.flush()
-    return " ".join(x.strip() for x in inner.lines if x.strip())
-
-
 def _number(node: Node, name: str) -> int:
     value = (node.get(name) or "").strip()
     return max(1, min(int(value), 1000)) if value.isdecimal() and len(value) < 6 else 1
 
 
-def _table(node: Node, page: _Page) -> None:
+# The walk: each function is a generator of the (node, page) to be rendered before it goes on; run() keeps the stack.
+
+
+def run(node: Node, page: _Page) -> None:
+    """Renders what is in the node."""
+    waiting = [_children(node, page)]
+    while waiting:
+        task = next(waiting[-1], None)
+        if task is None:
+            waiting.pop()
+            continue
+        item, to = task
+        if isinstance(item, str):
+            to.inline.append(item)
+        elif (tag := item.tag) in VOID:
+            _void(item, to)
+        elif visible(item):
+            waiting.append(_children(item, to) if tag not in BLOCK else _block(item, to))
+
+
+def _children(node: Node, page: _Page):
+    for child in node.children:
+        yield child, page
+
+
+def _void(node: Node, page: _Page) -> None:
+    if visible(node):
+        if node.tag == "br" and _SPACES.sub("", "".join(page.inline)):
+            page.flush()
+        elif node.tag == "hr":
+            page.margin()
+
+
+def _block(node: Node, page: _Page):
+    tag = node.tag
+    margin = tag in MARGIN and not (tag in ("ul", "ol", "menu", "dir") and "  " in page.indent)
+    page.margin() if margin else page.flush()
+    if tag == "pre" or tag == "textarea":
+        text = _plain(node).replace("\r\n", "\n").replace("\xa0", " ")
+        for line in text.removeprefix("\n").rstrip("\n").split("\n"):
+            page.line(line.rstrip()) if line.strip() else page.lines.append("")
+    elif tag == "table" and not page.flat:
+        for child in node.children:
+            if isinstance(child, Node) and child.tag == "caption":
+                yield child, page
+        page.flush()
+        yield from _table(node, page)
+    elif tag in ("ul", "ol", "menu", "dir"):
+        yield from _list(node, page)
+    elif tag in ("blockquote", "dd"):
+        page.deeper("> " if tag == "blockquote" else "  ")
+        yield from _children(node, page)
+        page.flush()
+        page.back()
+    elif tag == "details" and node.get("open") is None:
+        for child in node.children:
+            if isinstance(child, Node) and child.tag == "summary":
+                yield child, page
+    else:
+        yield from _children(node, page)
+    page.margin() if margin else page.flush()
+
+
+def _cell(node: Node):
+    """Renders the cell's children on a page of their own; returns its words on one line."""
+    inner = _Page(flat=True)
+    yield from _children(node, inner)
+    inner.flush()
+    return " ".join(x.strip() for x in inner.lines if x.strip())
+
+
+def _table(node: Node, page: _Page):
     """Rows with their cells in columns; a cell spans colspan columns and rowspan rows."""
-    rows: list[Node] = []
     parts = {"thead": [], "tbody": [], "tfoot": []}
     for child in node.children:
         if isinstance(child, str):
@@ -218,23 +362,18 @@ def _table(node: Node, page: _Page) -> None:
             for row in child.children:
                 if isinstance(row, Node) and row.tag == "tr":
                     parts[child.tag].append(row)
-                elif isinstance(row, str):
-                    page.inline.append(row)
                 else:
-                    _render(row, page)
+                    yield row, page
         elif child.tag == "tr":
             parts["tbody"].append(child)
-        else:
-            _render(child, page)
+        elif child.tag not in parts and child.tag != "caption":
+            yield child, page
     page.flush()
-    rows = [r for r in parts["thead"] + parts["tbody"] + parts["tfoot"] if visible(r)]
     grid: list[dict[int, tuple[str, int]]] = []  # column: text and the columns that it spans
-    taken: dict[int, int] = {}  # column: rows that a cell above still spans
-    for row in rows:
+    taken: dict[int, int] = {}  # column: the row from which on it is free
+    for at, row in enumerate(r for r in parts["thead"] + parts["tbody"] + parts["tfoot"] if visible(r)):
         line: dict[int, tuple[str, int]] = {}
         column = 0
-        held = {c: n for c, n in taken.items() if n > 0}
-        taken = {c: n - 1 for c, n in held.items()}
         for cell in row.children:
             if isinstance(cell, str):
                 if cell.strip():
@@ -242,99 +381,62 @@ def _table(node: Node, page: _Page) -> None:
                 continue
             if not visible(cell):
                 continue
-            while column in held:
+            while taken.get(column, 0) > at:
                 column += 1
             wide, deep = _number(cell, "colspan"), _number(cell, "rowspan")
-            line[column] = (_cell(cell) if cell.tag in ("td", "th") else _SPACES.sub(" ", _plain(cell)).strip(), wide)
-            for c in range(column, column + wide):
-                if deep > 1:
-                    taken[c] = deep - 1
+            said = yield from _cell(cell)
+            line[column] = ((f"{line[column][0]} {said}".strip() if column in line else said), wide)
+            if deep > 1:
+                for c in range(column, column + wide):
+                    taken[c] = at + deep
             column += wide
         grid.append(line)
+    for text in _aligned(grid):
+        page.line(text)
+
+
+def _aligned(grid: list[dict[int, tuple[str, int]]]):
+    """The lines of a grid, each column as wide as its widest cell; columns without text take no room."""
     width: dict[int, int] = {}
     for line in grid:
         for c, (text, wide) in line.items():
-            width[c] = max(width.get(c, 0), len(text) if wide == 1 else 0)
-    columns = [c for c in sorted(width) if width[c] or any(line.get(c, ("", 1))[0] for line in grid)]
+            if text:
+                width[c] = max(width.get(c, 0), len(text) if wide == 1 and len(text) <= WIDE_CELL else 0)
+    columns = sorted(width)
+    begin = dict(zip(columns, accumulate((width[c] + 2 for c in columns), initial=0)))
+    apart = sum(width.values()) + 2 * len(columns) > WIDE_TABLE
     for line in grid:
-        out, until = [], -1
-        for c in columns:
-            if c < until:
+        out, at = [], 0
+        for c, (text, _) in sorted(line.items()):
+            if not text:
                 continue
-            text, wide = line.get(c, ("", 1))
-            until = c + wide
-            over = [width[x] for x in columns if c <= x < until]
-            out.append(text.ljust(sum(over) + 2 * (len(over) - 1)))
-        if any(text for text, _ in line.values()):
-            page.line("  ".join(out).replace("\xa0", " ").rstrip())
+            if out:
+                gap = 2 if apart else max(2, begin[c] - at)
+            else:
+                gap = 0 if apart else begin[c]
+            out += [" " * gap, text]
+            at += gap + len(text)
+        if out:
+            yield "".join(out).replace("\xa0", " ").rstrip()
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else _plain(c) if visible(c) else "" for c in node.children)
-
-
-def _render(node, page: _Page) -> None:
-    if isinstance(node, str):
-        page.inline.append(node)
-        return
-    tag = node.tag
-    if not visible(node):
-        return
-    if tag == "br":
-        if _SPACES.sub("", "".join(page.inline)):
-            page.flush()
-        return
-    if tag == "wbr":
-        return
-    if tag == "hr":
-        page.margin()
-        return
-    if tag not in BLOCK:
-        for child in node.children:
-            _render(child, page)
-        return
-    page.margin() if tag in MARGIN and not (tag in ("ul", "ol", "menu", "dir") and "  " in page.indent) else page.flush()
-    if tag == "pre" or tag == "textarea":
-        text = _plain(node).replace("\r\n", "\n").replace("\xa0", " ")
-        for line in text.removeprefix("\n").rstrip("\n").split("\n"):
-            page.line(line.rstrip()) if line.strip() else page.lines.append("")
-    elif tag == "table":
-        for child in node.children:
-            if isinstance(child, Node) and child.tag == "caption":
-                _render(child, page)
-        page.flush()
-        _table(_without_caption(node), page)
-    elif tag in ("ul", "ol", "menu", "dir"):
-        _list(node, page)
-    elif tag == "blockquote":
-        page.indent += "> "
-        for child in node.children:
-            _render(child, page)
-        page.flush()
-        page.indent = page.indent[:-2]
-    elif tag == "dd":
-        page.indent += "  "
-        for child in node.children:
-            _render(child, page)
-        page.flush()
-        page.indent = page.indent[:-2]
-    elif tag == "details" and node.get("open") is None:
-        for child in node.children:
-            if isinstance(child, Node) and child.tag == "summary":
-                _render(child, page)
-    else:
-        for child in node.children:
-            _render(child, page)
-    page.margin() if tag in MARGIN and not (tag in ("ul", "ol", "menu", "dir") and "  " in page.indent) else page.flush()
-
-
-def _without_caption(node: Node) -> Node:
-    out = Node(node.tag, node.attributes)
-    out.children = [c for c in node.children if isinstance(c, str) or c.tag != "caption"]
-    return out
-
-
-def _list(node: Node, page: _Page) -> None:
+    """The visible text as it is."""
+    out, waiting = [], [iter(node.children)]
+    while waiting:
+        child = next(waiting[-1], None)
+        if child is None:
+            waiting.pop()
+        elif isinstance(child, str):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\n")
+        elif visible(child):
+            waiting.append(iter(child.children))
+    return "".join(out)
+
+
+def _list(node: Node, page: _Page):
     first = (node.get("start") or "").strip() if node.tag == "ol" else ""
     number = int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1
     for child in node.children:
@@ -342,15 +444,14 @@ def _list(node: Node, page: _Page) -> None:
             page.flush()
             marker = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            before = page.indent
-            page.indent += " " * len(marker) if len(marker) > 2 else "  "
+            page.deeper(" " * len(marker))
             page.marker = marker
-            for inner in child.children:
-                _render(inner, page)
+            yield from _children(child, page)
             page.flush()
-            page.indent, page.marker = before, ""
+            page.back()
+            page.marker = ""
         else:
-            _render(child, page)
+            yield child, page
     page.flush()
 
 
@@ -370,8 +471,7 @@ def render(page: str | None) -> tuple[str | None, str]:
         return None, ""
     root = parse(page)
     out = _Page()
-    for child in root.children:
-        _render(child, out)
+    run(root, out)
     out.flush()
     return title_of(root), re.sub(r"\n{3,}", "\n\n", "\n".join(out.lines)).strip("\n")
 
