@@ -269,6 +269,107 @@ def test_rendering_survives_depth():
     assert op04_html.render("<table><tr><td>" * 3_000 + "x")[1] == "x"
 
 
+def test_depth_changes_nothing():
+    page = "<div>" * 250 + "<textarea>seen</textarea><p hidden>secret</p>" + "<b>" * 5000 + "bold"
+    assert op04_html.render(page)[1] == "seen\nbold"
+
+
+@pytest.mark.parametrize(
+    "part", ["<a", "<div>", "<a '\"> ", '<a "> ', "<table><tr><td>x", "<blockquote>x", "<ul><li>x", "<div><p>x", "</", "< ", "<!-- ", "<dl><dd>x", "<b></i>", "<td>x", "<tr><td rowspan=999>x", "<script></script ", "&amp", "<p hidden>"]
+)
+def test_pages_of_megabytes(part):
+    """Whatever is repeated, 4 times as much takes about 4 times as long, and no text is lost."""
+    import time
+
+    def seconds(size):
+        page = "<table>" * part.startswith(("<td", "<tr")) + part * (size // len(part))
+        began = time.perf_counter()
+        text = op04_html.render(page)[1]
+        if part.endswith("x"):
+            assert text.count("x") == size // len(part)
+        return time.perf_counter() - began
+
+    seconds(50_000)
+    assert seconds(1_200_000) < 8 * seconds(300_000) + 1
+
+
+def plain_layout(tree, indent=""):
+    """The text of a tree of blocks by another way than the renderer's: each block is its lines and whether a blank line is due around it."""
+
+    def blocks(node, indent, in_list):
+        kind, what = node
+        if kind == "text":
+            return [(False, [indent + what])]
+        if kind == "p":
+            return [(True, [indent + what])]
+        if kind == "hidden":
+            return []
+        if kind == "pre":
+            return [(True, [indent + x for x in what])]
+        if kind == "div":
+            return [b for child in what for b in blocks(child, indent, in_list)]
+        if kind == "table":
+            width = [max(len(row[c]) for row in what) for c in range(len(what[0]))]
+            return [(True, [(indent + "  ".join(x.ljust(w) for x, w in zip(row, width))).rstrip() for row in what])]
+        lines = []
+        for i, item in enumerate(what):
+            mark = f"{i + 1}. " if kind == "ol" else "- "
+            got = join([b for child in item for b in blocks(child, indent + " " * len(mark), True)])
+            lines += [indent + mark + got[0][len(indent) + len(mark) :], *got[1:]]
+        return [(not in_list, lines)]
+
+    def join(parts):
+        out = []
+        for i, (apart, lines) in enumerate(parts):
+            if i and (apart or parts[i - 1][0]):
+                out.append("")
+            out += lines
+        return out
+
+    return "\n".join(join([b for node in tree for b in blocks(node, indent, False)]))
+
+
+def as_html(node, r):
+    kind, what = node
+    end = lambda tag: f"</{tag}>" if r.random() < 0.6 or tag == "div" else ""
+    if kind == "text":
+        return f"<div>{what}</div>" if r.random() < 0.5 else f"<section><span>{what.replace(' ', '</span> <span>')}</span></section>"
+    if kind == "p":
+        return f"<p>{what.replace(' ', '  <i></i>')}{end('p')}"
+    if kind == "hidden":
+        return r.choice(["<p hidden>no</p>", "<div style='display:none'><p>no</div>", "<script>no()</script>", "<!-- no -->"])
+    if kind == "pre":
+        return "<pre>\n" + "\n".join(what) + "</pre>"
+    if kind == "div":
+        return "<div>" + "".join(as_html(x, r) for x in what) + "</div>"
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{x}{end('td')}" for x in row) for row in what) + "</table>"
+    return f"<{kind}>" + "".join("<li>" + "".join(as_html(x, r) for x in item) + end("li") for item in what) + f"</{kind}>"
+
+
+def test_layout_against_another_renderer():
+    r = random.Random(21)
+    said = lambda: " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 6)))
+
+    def tree(depth):
+        kind = r.choice(["text", "p", "hidden", "pre", "div", "table", "ul", "ol"][: 8 if depth else 3])
+        if kind in ("text", "p"):
+            return kind, said()
+        if kind == "hidden":
+            return kind, None
+        if kind == "pre":
+            return kind, [said() + "  " + said() for _ in range(r.randrange(1, 4))]
+        if kind == "table":
+            return kind, [[said() for _ in range(3)] for _ in range(r.randrange(1, 4))]
+        if kind == "div":
+            return kind, [tree(depth - 1) for _ in range(r.randrange(1, 4))]
+        return kind, [[("text", said()), *[x for _ in range(r.randrange(2)) if (x := tree(depth - 1))[0] not in ("p", "pre", "table", "div", "hidden")]] for _ in range(r.randrange(1, 4))]
+
+    for _ in range(400):
+        page = [tree(3) for _ in range(r.randrange(1, 5))]
+        assert op04_html.render("".join(as_html(x, r) for x in page))[1] == plain_layout(page), page
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<title>T</title><p>x", "t"), (None, None, None, "t"), (1, "u", "", None)], "page_id bigint, url string, html string, text string")
     assert sorted((str(r["page_id"]), str(r["title"]), r["text"]) for r in op04_html.extract(pages).collect()) == [("1", "None", ""), ("1", "T", "x"), ("None", "None", "")]
