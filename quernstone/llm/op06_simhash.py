@@ -6,7 +6,9 @@ holds bit p of 64 fingerprints in each word, carry-save counters add the differi
 64 distances at once, and a block is left as soon as all its distances exceed the radius. Each bucket
 returns a spanning forest of its links, never all pairs; components are joined across buckets.
 
-The pipeline's stage links by exact Jaccard similarity instead, among candidates that share a band of least hashes.
+The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its buckets are bands of least
+hashes, which lose no pair at 0.8 that matters; within a bucket SimHash fingerprints of two lanes are compared by bit planes, as above, and
+what lies within the radius is decided by the exact similarity.
 
 Defined results: a NULL or wordless text has fingerprint zero and links like any other; a NULL doc_id
 gets its component like other rows, but never names one unless all are NULL; repeated rows share a
@@ -312,8 +314,9 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
 #: For stages: sets of five-word shingles, linked at a Jaccard similarity of SIMILARITY in hundredths or more. Candidates share a
 #: band of STAGE_ROWS least hashes; a pair at 0.8 shares none of STAGE_BANDS bands with probability (1 - 0.8^5)^24 = 7e-5.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BANDS, STAGE_ROWS = 5, 80, 24, 5
-#: Least hashes of STAGE_BANDS * STAGE_ROWS that agree in pairs worth an exact test; at 0.8 fewer do with probability 1e-6.
-STAGE_AGREE = 74
+#: Lanes of the stage's fingerprints, of distinct shingles, and their radius. Two sets at 0.8 differ in a bit with probability 0.19 at most
+#: (four shingles of five; 0.15 in large sets): more than 44 of 128 bits with 2e-5 at most, and beyond ten shingles with 1e-7.
+STAGE_LANES, STAGE_RADIUS = 2, 44
 #: Rounds that try one member of each bucket against the others, before all pairs that no link connects are tried.
 STAR_ROUNDS = 2
 
@@ -342,9 +345,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = STAGE_SHING
     return of[new], found[new]
 
 
+def shingle_lanes(of: np.ndarray, h: np.ndarray, n: int, lanes: int = STAGE_LANES) -> np.ndarray:
+    """Fingerprints [n, lanes] of rows from their distinct shingles (of: the row of each hash, sorted)."""
+    counts = np.bincount(of, minlength=n)
+    out = np.zeros((n, lanes), np.uint64)
+    for lane in range(lanes):
+        # Long texts have many shingles: their bits are counted a few rows at a time.
+        with np.errstate(over="ignore"):
+            mixed = mix64(h * np.uint64(2 * lane + 3) + np.uint64(0x632BE59BD9B4E019))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        for a, b in chunks(ends, 100_000):
+            out[a:b, lane] = majority(mixed[ends[a] : ends[b]], counts[a:b])
+    return out
+
+
 def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS) -> DataFrame:
-    """(doc_id, node, size, bands, least, text): a hash and the size of each text's set of shingles, the keys of its bands (none of a wordless
-    text) and a byte of each least hash."""
+    """(doc_id, copy, node, size, bands, text): a hash of each text, one of its set of shingles, the set's size and the keys of its bands (none of a
+    wordless text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rng = np.random.default_rng(11)
     salts, factors = rng.integers(1, 2**63, (2, bands * rows)).astype(np.uint64)
@@ -355,9 +372,8 @@ def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS)
 
         for batch in batches:
             n = batch.num_rows
-            data, offsets = text_bytes(batch.column(1))
-            node, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-            keys, least = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint8)
+            data, offsets = text_bytes(batch.column(2))
+            node, size, keys = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, bands), np.uint64)
             for a, b in chunks(offsets):
                 of, h = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(h):
@@ -369,16 +385,32 @@ def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS)
                     for t in range(bands):
                         key = np.full(len(some), t + 1, np.uint64)
                         for j in range(t * rows, (t + 1) * rows):
-                            low = np.minimum.reduceat((h ^ salts[j]) * factors[j], first)
-                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low)
-                            least[a + some, j] = mix64(low) & np.uint64(255)
+                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((h ^ salts[j]) * factors[j], first))
                         keys[a + some, t] = key
             full = size > 0
             ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(size), lists, pa.array([x.tobytes() for x in least]), batch.column(1)], names=["doc_id", "node", "size", "bands", "least", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size), lists, batch.column(2)], names=["doc_id", "copy", "node", "size", "bands", "text"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, f"doc_id {kind}, copy bigint, node bigint, size bigint, bands array<bigint>, text string")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, size bigint, bands array<bigint>, least binary, text string")
+
+def with_lanes(texts: DataFrame) -> DataFrame:
+    """(node, text) with lane0, lane1: the stage's fingerprint of each text."""
+    names = [f"lane{i}" for i in range(STAGE_LANES)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            lanes = [np.zeros((0, STAGE_LANES), np.uint64)]
+            for a, b in chunks(offsets):
+                lanes.append(shingle_lanes(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a))
+            found = np.concatenate(lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(STAGE_LANES)]], names=["node", "text", *names])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, text string, " + ", ".join(f"{x} bigint" for x in names))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
@@ -404,43 +436,49 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: int = STAGE_SIMILARITY
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def cell_forest(root: np.ndarray, least: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: int, agree: int) -> list[tuple[int, int]]:
-    """Links (i, j) of rows at the similarity that connect what all such links connect, given that rows of one root are connected."""
+def cell_forest(root: np.ndarray, lanes: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: int, radius: int) -> list[tuple[int, int]]:
+    """Links (i, j) of rows at the similarity that connect what all such links connect, given that rows of one root are connected.
+
+    Bit planes give the rows within the radius of 64 rows at a time; the sets of shingles decide among those.
+    """
     n, label = len(root), np.unique(root, return_inverse=True)[1]
     parts = [(a + of, h) for a, b in chunks(offsets) for of, h in [shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]]
     of, h = (np.concatenate(c) for c in zip(*parts))
     names, h = np.unique(h, return_inverse=True)
     begin = np.searchsorted(of, np.arange(n + 1))
     size, mark, links = np.diff(begin), np.zeros(len(names), bool), []
-    for i in range(n - 1):
-        other = size[i + 1 :]
-        # The smaller of two sets this similar has at least this share of the larger's shingles.
-        fit = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(other, size[i]) >= similarity * np.maximum(other, size[i])))
-        fit = fit[np.count_nonzero(least[fit] == least[i], axis=1) >= agree] if len(fit) else fit
-        if not len(fit):
-            continue
-        mark[h[begin[i] : begin[i + 1]]] = True
-        ends = np.cumsum(size[fit])
-        where = np.arange(ends[-1]) + np.repeat(begin[fit] - (ends - size[fit]), size[fit])
-        common = np.add.reduceat(mark[h[where]].astype(np.int64), ends - size[fit])
-        mark[h[begin[i] : begin[i + 1]]] = False
-        for j in fit[100 * common >= similarity * (size[i] + size[fit] - common)].tolist():
-            if label[j] != label[i]:
-                links.append((i, j))
-                label[label == label[j]] = label[i]
+    vertical, alive = planes(lanes), _mask(n)
+    for block in range(0, n - 1, 64):
+        near = _unpack(within(lanes[block : block + 64], vertical, radius, alive), n)
+        for i in range(block, min(block + 64, n - 1)):
+            fit = i + 1 + np.flatnonzero(near[i - block, i + 1 :] & (label[i + 1 :] != label[i]))
+            # The smaller of two sets this similar has at least this share of the larger's shingles.
+            fit = fit[100 * np.minimum(size[fit], size[i]) >= similarity * np.maximum(size[fit], size[i])]
+            if not len(fit):
+                continue
+            mark[h[begin[i] : begin[i + 1]]] = True
+            ends = np.cumsum(size[fit])
+            where = np.arange(ends[-1]) + np.repeat(begin[fit] - (ends - size[fit]), size[fit])
+            common = np.add.reduceat(mark[h[where]].astype(np.int64), ends - size[fit])
+            mark[h[begin[i] : begin[i + 1]]] = False
+            for j in fit[100 * common >= similarity * (size[i] + size[fit] - common)].tolist():
+                if label[j] != label[i]:
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
     return links
 
 
-def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, agree: int = STAGE_AGREE, cell: int = CELL) -> DataFrame:
-    """(a, b): links at the similarity that connect what each key's rows (key, node, root, least, text) have; sizes: (key, members).
+def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, radius: int = STAGE_RADIUS, cell: int = CELL) -> DataFrame:
+    """(a, b): links at the similarity that connect what each key's rows (key, node, root, text, lanes) have; sizes: (key, members).
 
     A key of over `cell` rows is split by hash into parts that meet pair by pair, as the buckets of fingerprints are.
     """
+    lanes = [f"lane{i}" for i in range(STAGE_LANES)]
     parts = F.ceil(F.col("members") / F.lit(cell)).cast("int")
     split = named.join(sizes, "key").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     part = F.least("mine", "other").cast("bigint") * F.lit(1 << 20) + F.greatest("mine", "other")
-    cells = split.select("key", part.alias("part"), "node", "root", "least", "text").repartition("key", "part").sortWithinPartitions("key", "part")
+    cells = split.select("key", part.alias("part"), "node", "root", "text", *lanes).repartition("key", "part").sortWithinPartitions("key", "part")
 
     def run(batches):
         import pyarrow as pa
@@ -453,8 +491,8 @@ def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, agree: int
             for a, b in itertools.pairwise(cut.tolist()):
                 if (root[a:b] == root[a]).all():
                     continue
-                least = np.frombuffer(b"".join(table.column(4).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                found = cell_forest(root[a:b], least, *text_bytes(table.column(5).slice(a, b - a)), similarity, agree)
+                prints = np.stack([table.column(5 + i).slice(a, b - a).to_numpy() for i in range(STAGE_LANES)], axis=1).view(np.uint64)
+                found = cell_forest(root[a:b], prints, *text_bytes(table.column(4).slice(a, b - a)), similarity, radius)
                 if found:
                     i, j = np.array(found).T
                     yield pa.RecordBatch.from_arrays([pa.array(node[a + i]), pa.array(node[a + j])], names=["a", "b"])
@@ -499,9 +537,8 @@ def similar(rows: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
 
     members = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(crowded, "key bigint, node bigint, size bigint")
     members = materialise(members, "stage-members")
-    wanted = rows.select("node", "least", "text").join(members.select("node").distinct(), "node", "left_semi")
-    texts = wanted.groupBy("node").agg(F.first("least").alias("least"), F.first("text").alias("text"))
-    texts = materialise(texts, "stage-texts")
+    wanted = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = materialise(with_lanes(wanted.groupBy("node").agg(F.first("text").alias("text"))), "stage-texts")
     # The smaller of two sets this similar has at least this share of the larger's shingles.
     sizes = 100 * F.least("n", "size") >= similarity * F.greatest("n", "size")
     found = roots = None
@@ -525,15 +562,20 @@ def similar(rows: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row, that of the smallest id, of each group of near-duplicates: what links at similarity 0.8 or more connect.
+    """docs with one row of each group of near-duplicates, which are what links at similarity 0.8 or more connect: of the row's smallest id, and
+    of several texts of that id that of the smallest hash.
 
-    Texts without a word are one group. Rows with a NULL id stay, as nothing can name them; of rows that share an id one stays.
+    Texts without a word are one group. Rows with a NULL id stay, as nothing can name them. Rows of one id and different texts are judged
+    each; of rows of one id and one text, that of the smallest hash of the other columns stays (of equal ones, any).
     """
     rows = materialise(sketches(docs), "stage-sketches")
-    ids = rows.where("doc_id is not null").select("doc_id", "node").join(similar(rows), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_id = ids.join(least, "root").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone"))
-    odd = materialise(by_id.where("gone or n > 1"), "stage-odd")
-    once = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(odd.where("not gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*docs.columns)
+    ids = rows.where("doc_id is not null").select("doc_id", "copy", "node").join(similar(rows), "node", "left").select("doc_id", "copy", F.coalesce("root", "node").alias("root"))
+    first = ids.groupBy("root").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+    by_text = ids.join(first, "root").groupBy("doc_id", "copy").agg(F.count("*").alias("n"), F.bool_or(F.struct("doc_id", "copy") == F.col("first")).alias("stays"))
+    odd = materialise(by_text.where("n > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "stays"), "stage-odd")
+    same = lambda o: (F.col("doc_id") == o["__id"]) & (F.xxhash64("text") == o["__copy"])
+    once = docs.join(odd, same(odd), "left_anti")
+    repeated = docs.join(odd.where("stays"), same(odd), "left_semi")
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = repeated.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__copy")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in hashed])).alias("__row"))
+    return once.unionByName(one.select("__row.*"))
