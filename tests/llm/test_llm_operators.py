@@ -406,7 +406,7 @@ def test_recall_against_brute_force():
 
 
 @pytest.mark.parametrize("kind", ["substitute", "delete", "insert", "mixed"])
-@pytest.mark.parametrize("length", [3, 9, 16, 30, 47, 54, 64, 95, 120])
+@pytest.mark.parametrize("length", [3, 5, 6, 7, 9, 11, 16, 19, 30, 47, 54, 64, 95, 120])
 def test_no_leak_is_lost(length, kind):
     """At the most edits that count as a leak, for each length and kind of edits."""
     r = random.Random(f"{length} {kind}")
@@ -423,6 +423,27 @@ def test_no_leak_is_lost(length, kind):
     assert all(got.get((i, i)) == word_edits(item.split(), texts[i].split()) for i, item in enumerate(items))
 
 
+def test_items_of_a_word_or_two_are_whole_documents(spark):
+    docs = spark.createDataFrame([(1, "Yes."), (2, "yes no"), (3, "yes"), (4, "no, yes"), (5, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "No yes!"), (3, " ")], "item_id bigint, text string")
+    assert sorted(map(tuple, op05_decontaminate.leaks(docs, items).collect())) == [(1, 1, 1, 0), (3, 1, 1, 0), (4, 2, 2, 0)]
+
+
+def test_walks_by_definition():
+    """The key of a window is that of the words that a pointer, moved by coins, stands on at the table's places."""
+    rng = np.random.default_rng(0)
+    words = rng.integers(1, 2**63, 40).astype(np.uint64)
+    start = np.arange(0, 33, 4)
+    together = op05_decontaminate.walk_keys(words, start, 8, 1, 3)
+    for k, s in enumerate(start.tolist()):
+        alone = op05_decontaminate.walk_keys(words[s : s + 8], np.array([0]), 8, 1, 3)  # what stands behind a window changes nothing
+        assert [int(t[k]) for t in together] == [int(t[0]) for t in alone]
+    changed = words.copy()
+    changed[5] ^= np.uint64(1)
+    moved = op05_decontaminate.walk_keys(changed, start, 8, 1, 3)
+    assert all((a[2:] == b[2:]).all() for a, b in zip(together, moved))
+
+
 def test_leaks_and_filter(docs, benchmark):
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in op05_decontaminate.leaks(docs, benchmark).collect()} == {(8, 1, 0)}
     kept = op05_decontaminate.without_leaks(docs, benchmark)
