@@ -21,7 +21,7 @@ import itertools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -317,6 +317,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BANDS, STAGE_ROWS = 5, 80, 24, 5
 #: Lanes of the stage's fingerprints, of distinct shingles, and their radius. Two sets at 0.8 differ in a bit with probability 0.19 at most
 #: (four shingles of five; 0.15 in large sets): more than 44 of 128 bits with 2e-5 at most, and beyond ten shingles with 1e-7.
 STAGE_LANES, STAGE_RADIUS = 2, 44
+#: Rows of a few numbers each (24 bytes) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Rounds that try one member of each bucket against the others, before all pairs that no link connects are tried.
 STAR_ROUNDS = 2
 
@@ -359,9 +361,19 @@ def shingle_lanes(of: np.ndarray, h: np.ndarray, n: int, lanes: int = STAGE_LANE
     return out
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; maps have none."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has few rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS) -> DataFrame:
-    """(doc_id, copy, node, size, bands, text): a hash of each text, one of its set of shingles, the set's size and the keys of its bands (none of a
-    wordless text)."""
+    """(doc_id, copy, row, node, size, bands, text): a hash of each text, one of its whole row, one of its set of shingles, the set's size and the
+    keys of its bands (none of a wordless text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rng = np.random.default_rng(11)
     salts, factors = rng.integers(1, 2**63, (2, bands * rows)).astype(np.uint64)
@@ -372,7 +384,7 @@ def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS)
 
         for batch in batches:
             n = batch.num_rows
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(3))
             node, size, keys = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, bands), np.uint64)
             for a, b in chunks(offsets):
                 of, h = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -390,9 +402,9 @@ def sketches(docs: DataFrame, bands: int = STAGE_BANDS, rows: int = STAGE_ROWS)
             full = size > 0
             ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size), lists, batch.column(2)], names=["doc_id", "copy", "node", "size", "bands", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node.view(np.int64)), pa.array(size), lists, batch.column(3)], names=["doc_id", "copy", "row", "node", "size", "bands", "text"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, f"doc_id {kind}, copy bigint, node bigint, size bigint, bands array<bigint>, text string")
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), row_hash(docs).alias("row"), "text").mapInArrow(run, f"doc_id {kind}, copy bigint, row bigint, node bigint, size bigint, bands array<bigint>, text string")
 
 
 def with_lanes(texts: DataFrame) -> DataFrame:
@@ -468,8 +480,9 @@ def cell_forest(root: np.ndarray, lanes: np.ndarray, data: np.ndarray, offsets:
     return links
 
 
-def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, radius: int = STAGE_RADIUS, cell: int = CELL) -> DataFrame:
-    """(a, b): links at the similarity that connect what each key's rows (key, node, root, text, lanes) have; sizes: (key, members).
+def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, texts: DataFrame | None = None, radius: int = STAGE_RADIUS, cell: int = CELL) -> DataFrame:
+    """(a, b): links at the similarity that connect what each key's rows (key, node, root, text, lanes) have; sizes: (key, members); texts: (node,
+    text, lanes), if the rows have none.
 
     A key of over `cell` rows is split by hash into parts that meet pair by pair, as the buckets of fingerprints are.
     """
@@ -477,6 +490,7 @@ def bucket_links(named: DataFrame, sizes: DataFrame, similarity: int, radius: in
     parts = F.ceil(F.col("members") / F.lit(cell)).cast("int")
     split = named.join(sizes, "key").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    split = split if texts is None else split.join(texts, "node")  # texts come last, so that they move once
     part = F.least("mine", "other").cast("bigint") * F.lit(1 << 20) + F.greatest("mine", "other")
     cells = split.select("key", part.alias("part"), "node", "root", "text", *lanes).repartition("key", "part").sortWithinPartitions("key", "part")
 
@@ -537,7 +551,8 @@ def similar(rows: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
 
     members = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(crowded, "key bigint, node bigint, size bigint")
     members = materialise(members, "stage-members")
-    wanted = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    crowd = small(materialise(members.select("node").distinct(), "stage-crowd"))
+    wanted = rows.select("node", "text").join(crowd, "node", "left_semi")
     texts = materialise(with_lanes(wanted.groupBy("node").agg(F.first("text").alias("text"))), "stage-texts")
     # The smaller of two sets this similar has at least this share of the larger's shingles.
     sizes = 100 * F.least("n", "size") >= similarity * F.greatest("n", "size")
@@ -554,7 +569,7 @@ def similar(rows: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
             pairs = pairs.where("r <> root").where(sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             new = alike(pairs, texts, similarity)
         else:
-            new = bucket_links(named.join(texts, "node"), apart.select("key", "members"), similarity)
+            new = bucket_links(named, apart.select("key", "members"), similarity, texts)
         new = materialise(new, "stage-links")
         found = new if found is None else found.unionByName(new)
         roots = materialise(components(found), "stage-roots")
@@ -562,20 +577,27 @@ def similar(rows: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, which are what links at similarity 0.8 or more connect: of the row's smallest id, and
-    of several texts of that id that of the smallest hash.
+    """docs with one row of each group of near-duplicates, which are what links at similarity 0.8 or more connect: of the row's smallest id, of
+    several texts of that id that of the smallest hash, of several rows of that text that of the smallest hash of all columns.
 
     Texts without a word are one group. Rows with a NULL id stay, as nothing can name them. Rows of one id and different texts are judged
-    each; of rows of one id and one text, that of the smallest hash of the other columns stays (of equal ones, any).
+    each; of rows that are equal in all columns one stays.
     """
     rows = materialise(sketches(docs), "stage-sketches")
-    ids = rows.where("doc_id is not null").select("doc_id", "copy", "node").join(similar(rows), "node", "left").select("doc_id", "copy", F.coalesce("root", "node").alias("root"))
-    first = ids.groupBy("root").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
-    by_text = ids.join(first, "root").groupBy("doc_id", "copy").agg(F.count("*").alias("n"), F.bool_or(F.struct("doc_id", "copy") == F.col("first")).alias("stays"))
-    odd = materialise(by_text.where("n > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "stays"), "stage-odd")
-    same = lambda o: (F.col("doc_id") == o["__id"]) & (F.xxhash64("text") == o["__copy"])
-    once = docs.join(odd, same(odd), "left_anti")
-    repeated = docs.join(odd.where("stays"), same(odd), "left_semi")
-    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    one = repeated.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__copy")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in hashed])).alias("__row"))
-    return once.unionByName(one.select("__row.*"))
+    own = ["doc_id", "copy", "row"]
+    ids = rows.where("doc_id is not null").select(*own, "node").join(similar(rows), "node", "left").select(*own, F.coalesce("root", "node").alias("root"))
+    first = ids.groupBy("root").agg(F.min(F.struct(*own)).alias("first"))
+    by_row = ids.join(first, "root").groupBy(*own).agg(F.count("*").alias("n"), F.bool_or(F.struct(*own) == F.col("first")).alias("stays"))
+    odd = materialise(by_row.where("n > 1 or not stays").select(*[F.col(c).alias(f"__{c}") for c in own], "stays"), "stage-odd")
+
+    def same(o: DataFrame) -> Column:
+        return (F.col("doc_id") == o["__doc_id"]) & (F.xxhash64("text") == o["__copy"]) & (row_hash(docs) == o["__row"])
+
+    odd_rows = small(odd)
+    kept = docs.join(odd_rows, same(odd_rows), "left_anti")
+    repeated = odd.where("stays")
+    if repeated.limit(1).count():
+        again = small(repeated)
+        one = docs.join(again, same(again), "left_semi").groupBy("doc_id", F.xxhash64("text").alias("__copy"), row_hash(docs).alias("__row"))
+        kept = kept.unionByName(one.agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__one")).select("__one.*"))
+    return kept
