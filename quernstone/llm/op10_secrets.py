@@ -1,8 +1,7 @@
 """Secret scanning through a trigram inverted index, in DataFrame functions only.
 
 Each rule's regex is parsed on the driver into a Boolean query over trigrams that every match must
-hold. A document-partitioned inverted index (block, trigram, postings) is built over all texts, each of which is read once: one
-pattern, a prefix tree of the rules' trigrams, finds those that it holds. The
+hold. A document-partitioned inverted index (block, trigram, postings) is built over all texts. The
 query of each rule intersects and unites postings block by block, and only the candidates are verified
 by the regex itself. A rule without mandatory trigrams is verified on every text.
 
@@ -130,29 +129,36 @@ def trigram_query(pattern: str, most_terms: int = 4) -> Query:
     return _minimal({thin(c) for c in query})
 
 
-def prefix_tree(strings: list[str]) -> str:
-    """A pattern that matches any of the strings, which have one length, deciding character by character."""
-    if len(strings[0]) == 1:
-        return strings[0] if len(strings) == 1 and strings[0].isalnum() else "[" + "".join(c if c.isalnum() else "\\" + c for c in sorted(strings)) + "]"
-    heads: dict[str, list[str]] = {}
-    for x in sorted(strings):
-        heads.setdefault(x[0], []).append(x[1:])
-    return "(?:" + "|".join((h if h.isalnum() else "\\" + h) + prefix_tree(t) for h, t in heads.items()) + ")"
+#: Letters by how often English has them, the rarest last; what is no letter is rarer still.
+_FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
 
 
-def held_trigrams(text: Column, trigrams: list[str]) -> Column:
-    """Those of the trigrams that the lower-cased text holds: every place is looked at, as trigrams overlap."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?={prefix_tree(sorted({t[0] for t in trigrams}))})(?=({prefix_tree(trigrams)}))"), F.lit(1)))
+def anchor(clause: frozenset) -> str:
+    """The trigram of a clause that is the rarest in prose, by its letters."""
+    return max(sorted(clause), key=lambda t: sum(_FREQUENT.index(c) if c in _FREQUENT else len(_FREQUENT) for c in t))
 
 
-def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(block, trigram, postings): the sorted ids of the block's documents that hold the trigram.
+def held_trigrams(text: Column, clauses: list[frozenset]) -> Column:
+    """Those trigrams of the clauses that the lower-cased text holds; of a clause whose rarest the text lacks, which it cannot meet, none is looked for."""
+    by_anchor: dict[str, set] = {}
+    for clause in clauses:
+        by_anchor.setdefault(anchor(clause), set()).update(clause)
+
+    def found(low: Column) -> Column:
+        of = [F.when(F.contains(low, F.lit(a)), F.filter(F.array(*[F.lit(t) for t in sorted(terms)]), lambda t: F.contains(low, t))) for a, terms in sorted(by_anchor.items())]
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*of))))
+
+    return let(F.lower(text), found)
+
+
+def build_index(docs: DataFrame, clauses: list[frozenset], id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, trigram, postings): the sorted ids of the block's documents that hold the trigram and the rarest one of a clause that it is in.
 
     A block is a hash range of ids, so that a trigram of every document is spread over all blocks.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     blocks = max(1, -(-rows.count() // block_rows))
-    held = rows.select("id", held_trigrams(F.col("text"), trigrams).alias("held"))
+    held = rows.select("id", held_trigrams(F.col("text"), clauses).alias("held"))
     postings = held.select((F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"), "id", F.explode("held").alias("trigram"))
     return postings.groupBy("block", "trigram").agg(F.array_sort(F.collect_set("id")).alias("postings"))
 
@@ -236,9 +242,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     id_, kinds = (free_name(x, columns) for x in ("candidate_id", "candidate_kinds"))
     spans_col = spans_col or free_name("spans", columns)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != TRUE}
-    vocabulary = sorted({t for q in queries.values() for c in q for t in c})
+    clauses = sorted({c for q in queries.values() for c in q}, key=sorted)
     if queries:
-        found = materialise(candidates(build_index(docs, vocabulary, id_col, text_col, block_rows), queries), "secret-candidates")
+        found = materialise(candidates(build_index(docs, clauses, id_col, text_col, block_rows), queries), "secret-candidates")
         found = found.withColumnRenamed("id", id_).withColumnRenamed("kinds", kinds)
         found = F.broadcast(found) if found.count() <= broadcast_ids else found
         docs = docs.join(found, F.col(id_col) == F.col(id_), "left")
