@@ -18,6 +18,11 @@ def blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_match(rules: list[tuple[str, Column]], default: Column | None = None) -> Column:
     """The label of the first condition that holds."""
     out = None
@@ -162,12 +167,14 @@ def classify_domain(categories: Column, title: Column, abstract: Column, fix_cat
     fix_category_case compares category codes in lower case; without it they never match.
     """
     phrases = [(d, [p.lower() if fix_category_case else p for p in ps]) for d, ps in lexicon.DOMAIN_PHRASES]
-    low = F.lower(categories)
-    by_category = first_match([(d, any_of(F.coalesce(low.contains(p), F.lit(False)) for p in ps)) for d, ps in phrases])
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit(""))))
-    scores = [F.struct(reduce(lambda a, b: a + b, (text.contains(p).cast("int") for p in ps)).alias("n"), F.lit(-i).alias("first"), F.lit(d).alias("domain")) for i, (d, ps) in enumerate(phrases)]
-    best = F.array_max(F.array(*scores))
-    return F.coalesce(by_category, F.when(best["n"] > 0, best["domain"]))
+    by_category = let(F.lower(categories), lambda low: first_match([(d, any_of(F.coalesce(low.contains(p), F.lit(False)) for p in ps)) for d, ps in phrases]))
+
+    def scored(text: Column) -> Column:
+        scores = [F.struct(reduce(lambda a, b: a + b, (text.contains(p).cast("int") for p in ps)).alias("n"), F.lit(-i).alias("first"), F.lit(d).alias("domain")) for i, (d, ps) in enumerate(phrases)]
+        return let(F.array_max(F.array(*scores)), lambda best: F.when(best["n"] > 0, best["domain"]))
+
+    # The text is lower-cased once, and only where the categories say nothing.
+    return F.coalesce(by_category, let(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit("")))), scored))
 
 
 def parse_venue_id(c: Column) -> Column:
@@ -199,3 +206,7 @@ def extraction_text(title: Column, abstract: Column) -> Column:
 
 def year_range(least: Column, most: Column) -> Column:
     return F.coalesce(F.concat(least.cast("string"), F.lit("-"), most.cast("string")), F.lit("N/A"))
+
+
+def paper_url(base: Column, paper_id: Column) -> Column:
+    return F.concat(base, paper_id.cast("string"))

@@ -9,9 +9,15 @@ from quernstone.operators.filters import where
 
 
 def of_papers(pk: DataFrame, papers: DataFrame, venue: str | None = None, year: int | None = None, method: str | None = None) -> DataFrame:
-    """(keyword, method, venue, year) of each paper's keywords, filtered before the join."""
+    """(keyword, method, venue, year) of each paper's keywords, filtered before the join.
+
+    With a venue or year, keywords are first cut down to these papers': the semi-join goes below the aggregate that pk may be.
+    """
     left = where(pk, method=method).select("paper_id", "keyword", "method")
-    return left.join(where(papers, venue=venue, year=year).select("paper_id", "venue", "year"), "paper_id")
+    right = where(papers, venue=venue, year=year).select("paper_id", "venue", "year")
+    if venue or year:
+        left = left.join(right.select("paper_id"), "paper_id", "left_semi")
+    return left.join(right, "paper_id")
 
 
 def counts(rows: DataFrame, *by: str) -> DataFrame:
@@ -63,7 +69,7 @@ def trend_grid(rows: DataFrame, by: list[str], per_year: int = 100, keywords: in
     yearly_ranks = ranked(counts(rows, *by, "year"), [*by, "year"], per_year)
     total = yearly_ranks.groupBy(*by, "keyword").agg(F.sum("count").alias("count"))
     chosen = ranked(total, by, keywords).select(*by, "keyword")
-    years = rows.select(*by, "year").distinct()
+    years = yearly_ranks.select(*by, "year").distinct()  # every year of a group has a first keyword
     grid = chosen.join(years, by)
     filled = grid.join(yearly_ranks, [*by, "keyword", "year"], "left")
     return filled.select(*by, "keyword", "year", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("rank", F.lit(0)).alias("rank"))
@@ -74,9 +80,10 @@ def _frequencies(rows: DataFrame, papers: DataFrame, latest_k: int, min_count: i
     sizes = papers.groupBy("year").agg(F.count("*").alias("papers"))
     order = sizes.select("year", "papers", F.row_number().over(Window.orderBy(F.desc("year"))).alias("nth"))  # a row a year
     latest = order.where("nth = 1").select("year")
-    top_now = counts(rows.join(F.broadcast(latest), "year", "left_semi")).orderBy(F.desc("count"), "keyword").limit(latest_k).where(F.col("count") >= min_count).select("keyword")
     window = order.where(F.col("nth") <= compared + 1)
-    by_year = counts(rows.join(F.broadcast(top_now), "keyword", "left_semi"), "year")
+    # Both the latest year's first keywords and their counts of other years come from one count of the window's years.
+    by_year = counts(rows.join(F.broadcast(window.select("year")), "year", "left_semi"), "year")
+    top_now = by_year.join(F.broadcast(latest), "year", "left_semi").orderBy(F.desc("count"), "keyword").limit(latest_k).where(F.col("count") >= min_count).select("keyword")
     grid = top_now.join(F.broadcast(window))
     full = grid.join(by_year, ["keyword", "year"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return full.withColumn("freq", F.col("count") / F.greatest("papers", F.lit(1)).cast("double") * 1000)

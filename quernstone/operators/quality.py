@@ -50,3 +50,60 @@ def needs_run(latest: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     seen = meta.where(F.col("key") == key).agg(F.max("value").alias("seen"))
     now = latest.agg(F.max("retrieved_at").alias("now"))
     return now.join(F.broadcast(seen)).select((F.col("seen").isNull() | (F.col("now") > F.try_to_timestamp("seen"))).alias("run"))
+
+
+def needs_series(latest: DataFrame, meta: DataFrame, category: str, granularity: str) -> DataFrame:
+    """(run): needs_run for one series, whose key names category and granularity."""
+    return needs_run(latest, meta, f"arxiv_{category}_{granularity}")
+
+
+def cache_presence(series: DataFrame, emerging: DataFrame, meta: DataFrame, prefix: str = "arxiv") -> DataFrame:
+    """(name, value, passed): rows of the cached series, of emerging topics and of meta entries with the prefix; only the series must be there."""
+    parts = [("timeseries_cached", series, True), ("emerging_topics_cached", emerging, False), ("meta_entries", meta.where(F.lower("key").startswith(prefix.lower())), False)]
+    out = None
+    for name, rows, must in parts:
+        one = rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("name"), "value", (F.col("value") > 0 if must else F.lit(None).cast("boolean")).alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def keyword_validity(series: DataFrame, sample: int = 10) -> DataFrame:
+    """(total, invalid, passed) over the keywords (array<struct<keyword, count>>) of the first `sample` series by key: numbers and those of one or two characters are
+    invalid; under 5 percent may be."""
+    some = series.where("top_keywords is not null").orderBy("category", "granularity", "bucket").limit(sample)
+    k = F.col("k.keyword")
+    agg = some.select(F.explode("top_keywords").alias("k")).agg(F.count("*").alias("total"), F.count_if(k.rlike("^[0-9]+$") | (F.length(k) <= 2)).alias("invalid"))
+    return agg.withColumn("passed", F.coalesce(F.col("invalid") * 100.0 / F.nullif("total", F.lit(0)) < 5, F.lit(True)))
+
+
+def fusion(links: DataFrame) -> DataFrame:
+    """(sources, papers): how many papers have links from that many sources. links: (paper_id, source)."""
+    per = links.groupBy("paper_id").agg(F.count_distinct("source").alias("sources"))
+    return per.groupBy("sources").agg(F.count("*").alias("papers"))
+
+
+def layers(raw: DataFrame, papers: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, value, threshold, passed): how much of the raw layer is structured, abstracts that are missing in both layers, papers whose venue is known, and links
+    a paper, in percent but for the last."""
+    pct = lambda part, all_: F.round(part * 100.0 / F.greatest(all_, F.lit(1)), 2)
+    a = raw.agg(F.count("*").alias("raw"), F.count_if(blank(F.col("abstract"))).alias("raw_without"))
+    b = papers.agg(F.count("*").alias("papers"), F.count_if(blank(F.col("abstract"))).alias("without"), F.count_if(F.col("venue").isNotNull()).alias("named"))
+    c = links.agg(F.count("*").alias("links"), F.count_distinct("raw_id").alias("linked"))
+    one = a.join(F.broadcast(b)).join(F.broadcast(c))
+    return report(one, [
+        check("structuring rate", pct(F.col("linked"), F.col("raw")), 50), check("raw without abstract", pct(F.col("raw_without"), F.col("raw")), 30, False),
+        check("papers without abstract", pct(F.col("without"), F.col("papers")), 20, False), check("venue known", pct(F.col("named"), F.col("papers")), 0),
+        check("links a paper", F.round(F.col("links") / F.greatest("papers", F.lit(1)), 2), 1),
+    ])
+
+
+def acceptance(cleaned: DataFrame, again: DataFrame, counts: DataFrame, noise: Column, synonyms: list[str]) -> DataFrame:
+    """(changed, noisy_top, synonym_hits): keywords that a second cleaning would change, noise among the 50 most frequent, keywords that are a main spelling.
+
+    cleaned, again: (keyword, twice); counts: (keyword, count).
+    """
+    top = counts.orderBy(F.desc("count"), "keyword").limit(50)
+    a = again.agg(F.count_if(~F.col("keyword").eqNullSafe(F.col("twice"))).alias("changed"))
+    b = top.agg(F.count_if(noise).alias("noisy_top"))
+    c = cleaned.agg(F.count_if(F.col("keyword").isin(synonyms)).alias("synonym_hits"))
+    return a.join(F.broadcast(b)).join(F.broadcast(c))

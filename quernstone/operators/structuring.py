@@ -18,11 +18,13 @@ def deduplicate(raw: DataFrame, key: str = "title_key", year: str = "year", orde
     before it, else it opens a paper without a year, which only later rows without a year join.
     """
     order = order or ["raw_id"]
-    by_key = Window.partitionBy(key).orderBy(*order)
-    by_year = Window.partitionBy(key, year).orderBy(*order)
-    first_of_key = F.first("raw_id").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
-    first_of_year = F.first("raw_id").over(by_year.rowsBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn("keep_id", F.when(F.col(year).isNull() | (F.col(year) == 0), first_of_key).otherwise(first_of_year))
+    order = order if "raw_id" in order else [*order, "raw_id"]
+    # The first row of a key, and of a key and year, by aggregates that are joined back: no key's rows meet in one task.
+    firsts = raw.groupBy(key, year).agg(F.min(F.struct(*order)).alias("f"))
+    firsts = firsts.select(F.col(key).alias("__key"), F.col(year).alias("__year"), "f", F.min("f").over(Window.partitionBy(key)).alias("g"))  # a row a year
+    keep = F.when(F.col("__year").isNull() | (F.col("__year") == 0), F.col("g")["raw_id"]).otherwise(F.col("f")["raw_id"])
+    firsts = firsts.select("__key", "__year", keep.alias("keep_id"))
+    return raw.join(firsts, raw[key].eqNullSafe(firsts["__key"]) & raw[year].eqNullSafe(firsts["__year"]), "left").drop("__key", "__year")
 
 
 @dataclass
@@ -45,12 +47,12 @@ def structure(raw: DataFrame, known_links: DataFrame | None = None) -> Structure
     good = good.withColumn("v", X.detect_venue(c("source"), c("venue_raw"), c("comments"), c("journal_ref")))
     good = good.withColumn("paper_id", F.xxhash64("title_key", "keep_id"))
     papers = good.where("raw_id = keep_id").select(
-        "paper_id", "canonical_title", "abstract", "year", c("v.venue").alias("venue"),
+        "paper_id", "keep_id", "canonical_title", "abstract", "year", c("v.venue").alias("venue"),
         X.venue_kind(c("v.venue"), c("source"), c("journal_ref"), c("categories")).alias("venue_type"),
         X.classify_domain(c("categories"), c("canonical_title"), c("abstract")).alias("domain"),
         X.quality_flag(c("v.venue"), c("source"), c("comments")).alias("quality_flag"),
     )
-    links = good.select("paper_id", "raw_id", "source", c("v.confidence").alias("confidence"))
+    links = good.select("paper_id", "keep_id", "raw_id", "source", c("v.confidence").alias("confidence"))
     counters = rows.agg(F.count("*").alias("processed"), F.count_if(F.col("canonical_title") == "").alias("failed")).join(F.broadcast(good.agg(F.count_if(F.col("raw_id") == F.col("keep_id")).alias("success"), F.count_if(F.col("raw_id") != F.col("keep_id")).alias("merged"))))
     return Structured(papers, links, rejects, counters)
 

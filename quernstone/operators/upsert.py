@@ -48,36 +48,63 @@ def evolve(rows: DataFrame, renames: dict[str, str], schema) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
 class Table:
-    """A Parquet table with versions: each write is a new folder, and a pointer file names the one that counts."""
+    """A Parquet table with versions: each write is a new folder, and a version file, which a rename that never overwrites makes visible, names it.
+
+    Readers see whole versions only. Of two writers that started from one version the later to commit gets a Conflict, and nothing of it is seen.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _pointer(self):
-        return self._path(f"{self.root}/_current")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        self._once = spark.sparkContext._gateway.new_array(option, 1)
+        self._once[0] = getattr(option, "NONE")
+
+    def version(self) -> int:
+        """The latest version; 0 if nothing was written."""
+        at = self._path(f"{self.root}/_versions")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def exists(self) -> bool:
-        return self._fs.exists(self._pointer())
+        return self.version() > 0
 
-    def read(self) -> DataFrame:
-        stream = self._fs.open(self._pointer())
+    def read(self, version: int | None = None) -> DataFrame:
+        stream = self._fs.open(self._path(f"{self.root}/_versions/{version or self.version():012d}"))
         try:
             return self.spark.read.parquet(f"{self.root}/{stream.readUTF()}")
         finally:
             stream.close()
 
-    def write(self, rows: DataFrame, partition_by: list[str] | None = None) -> None:
+    def write(self, rows: DataFrame, partition_by: list[str] | None = None, base: int | None = None) -> int:
+        """Makes rows the version after `base`, by default the latest when the write began; returns it."""
+        base = self.version() if base is None else base
         name = f"v-{uuid.uuid4().hex}"
         writer = rows.write
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
-        stream = self._fs.create(self._pointer(), True)
+        draft, final = (self._path(f"{self.root}/_versions/{x}") for x in (f"_{name}", f"{base + 1:012d}"))
+        stream = self._fs.create(draft, False)
         stream.writeUTF(name)
         stream.close()
-
-    def upsert(self, new: DataFrame, key: list[str], order: list[Column]) -> None:
-        current = self.read() if self.exists() else new.limit(0)
-        self.write(upsert(current, new, key, order))
+        try:
+            self._files.rename(draft, final, self._once)
+        except Exception as e:
+            self._fs.delete(draft, False)
+            if self._fs.exists(final):
+                raise Conflict(f"version {base + 1} is there already") from e
+            raise
+        return base + 1
+
+    def upsert(self, new: DataFrame, key: list[str], order: list[Column]) -> int:
+        base = self.version()
+        current = self.read(base) if base else new.limit(0)
+        return self.write(upsert(current, new, key, order), base=base)

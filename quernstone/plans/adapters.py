@@ -45,6 +45,31 @@ def commented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("comments", F.element_at(F.array(*[F.lit(c) for c in COMMENTS]), (F.col("raw_id") % len(COMMENTS) + 1).cast("int")))
 
 
+#: Journal references, categories and stated venues, dealt to documents by key.
+JOURNALS = [None, "Journal of Computer Vision", "Proc. ICML 2019", "AAAI 21 proceedings", ""]
+CATEGORIES = ["cs.CV", "cs.CL,stat.ML", "article", None, "math.CO"]
+STATED = ["NeurIPS 2023", "A small workshop", ""]
+
+
+def _dealt(values: list, key: str = "raw_id"):
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw records of four sources, with all that the structuring rules look at."""
+    rows = raw_papers(spark, sf_dir).select("raw_id", "title", "abstract").withColumn("source", _dealt(["openreview", "arxiv", "openalex", "s2"]))
+    stated = F.when(F.col("source") == "openreview", "ICLR").when(F.col("source") == "s2", _dealt(STATED))
+    year = F.when(F.col("raw_id") % 7 != 0, (2018 + F.col("raw_id") % 6).cast("int"))
+    return rows.withColumns({"venue_raw": stated, "comments": _dealt(COMMENTS), "journal_ref": _dealt(JOURNALS), "categories": _dealt(CATEGORIES), "year": year})
+
+
+def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(venue_id, name, domain, tier): suppliers as venues."""
+    v = table(spark, sf_dir, "supplier")
+    domain = F.when(F.col("s_nationkey") % 3 > 0, F.concat(F.lit("D"), (F.col("s_nationkey") % 3).cast("string")))
+    return v.select(F.col("s_suppkey").alias("venue_id"), F.col("s_name").alias("name"), domain.alias("domain"), F.when(F.col("s_acctbal") > 6000, "A").when(F.col("s_acctbal") > 2000, "B").otherwise("C").alias("tier"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, ts, category, keyword, user_id)."""
     e = table(spark, sf_dir, "events")
@@ -64,3 +89,14 @@ SQL_RAW = """raw AS (
     SELECT doc_id AS raw_id, source, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract, lang AS categories, n_chars FROM documents)"""
 _LIST = ", ".join("'" + c.replace("'", "''") + "'" for c in COMMENTS)
 SQL_COMMENTED = f"""com AS (SELECT o_orderkey AS raw_id, [{_LIST}][CAST(o_orderkey % {len(COMMENTS)} AS INTEGER) + 1] AS comments FROM orders)"""
+
+
+def sql_list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+SQL_SUB = f"""sub AS (SELECT doc_id AS raw_id, ['openreview', 'arxiv', 'openalex', 's2'][CAST(doc_id % 4 AS INTEGER) + 1] AS source, split_part(coalesce(text, ''), chr(10), 1) AS title,
+    substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract, CASE doc_id % 4 WHEN 0 THEN 'ICLR' WHEN 3 THEN {sql_list(STATED)}[CAST(doc_id % {len(STATED)} AS INTEGER) + 1] END AS venue_raw,
+    {sql_list(COMMENTS)}[CAST(doc_id % {len(COMMENTS)} AS INTEGER) + 1] AS comments, {sql_list(JOURNALS)}[CAST(doc_id % {len(JOURNALS)} AS INTEGER) + 1] AS journal_ref,
+    {sql_list(CATEGORIES)}[CAST(doc_id % {len(CATEGORIES)} AS INTEGER) + 1] AS categories, CASE WHEN doc_id % 7 <> 0 THEN CAST(2018 + doc_id % 6 AS INTEGER) END AS year FROM documents)"""
+SQL_VENUES = """ven AS (SELECT s_suppkey AS venue_id, s_name AS name, CASE WHEN s_nationkey % 3 > 0 THEN 'D' || (s_nationkey % 3) END AS domain, CASE WHEN s_acctbal > 6000 THEN 'A' WHEN s_acctbal > 2000 THEN 'B' ELSE 'C' END AS tier FROM supplier)"""

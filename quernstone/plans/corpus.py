@@ -11,7 +11,7 @@ from quernstone.operators import quality as Q
 from quernstone.operators import structuring
 from quernstone.operators.keywords import share
 from quernstone.plans import adapters as A
-from quernstone.plans.adapters import SQL_COMMENTED, SQL_PK, SQL_RAW
+from quernstone.plans.adapters import SQL_COMMENTED, SQL_PK, SQL_RAW, SQL_SUB
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -45,7 +45,11 @@ def title_token_frequency(spark, sf_dir):
     return E.tokens(A.raw_papers(spark, sf_dir)).orderBy(F.desc("count"), "keyword").limit(100)
 
 
-_VENUE = "CASE " + " ".join("WHEN regexp_matches(comments, '(?i)" + "|".join(f"(?:{p})" for p in ps).replace("'", "''") + f"') THEN '{v}'" for v, ps in lexicon.VENUE_PATTERNS) + " END"
+def sql_venue(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i)" + "|".join(f"(?:{p})" for p in ps).replace("'", "''") + f"') THEN '{v}'" for v, ps in lexicon.VENUE_PATTERNS) + " END"
+
+
+_VENUE = sql_venue("comments")
 
 
 @query(f"""WITH {SQL_COMMENTED}, v AS (SELECT raw_id, comments, {_VENUE} AS venue FROM com)
@@ -59,32 +63,34 @@ def venue_match(spark, sf_dir):
     return out.groupBy("venue", "confidence", "venue_type", "quality_flag").agg(F.count("*").alias("papers"))
 
 
-def _redetect_sql() -> str:
+def _redetect_case(column: str, from_comments: bool) -> str:
+    """A struct (confidence, venue, year), or NULL."""
     hits = [(v, p.replace("'", "''")) for v, long in lexicon.VENUES_WITH_YEAR for p in X._dated_patterns(v, long)]
-    case = lambda value: "CASE " + " ".join(f"WHEN regexp_matches(comments, '(?i){p}') THEN {value(v, p)}" for v, p in hits) + " END"
-    year = case(lambda v, p: f"nullif(regexp_extract(comments, '(?i){p}', 1), '')")
-    return f"""WITH {SQL_COMMENTED}, v AS (SELECT {case(lambda v, p: f"'{v}'")} AS venue, {case(lambda v, p: "0.9::DOUBLE" if p.startswith("accepted") else "0.7::DOUBLE")} AS confidence, TRY_CAST({year} AS INTEGER) AS y FROM com)
-        SELECT venue, confidence, CASE WHEN y < 100 THEN 2000 + y ELSE y END AS year, count(*) AS papers FROM v WHERE venue IS NOT NULL GROUP BY ALL"""
+    case = lambda value: "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){p}') THEN {value(v, p)}" for v, p in hits) + " END"
+    venue, weight = case(lambda v, p: f"'{v}'"), case(lambda v, p: "0.8::DOUBLE" if not from_comments else "0.9::DOUBLE" if p.startswith("accepted") else "0.7::DOUBLE")
+    y = "TRY_CAST(" + case(lambda v, p: f"nullif(regexp_extract({column}, '(?i){p}', 1), '')") + " AS INTEGER)"
+    return f"CASE WHEN {venue} IS NOT NULL THEN {{'confidence': {weight}, 'venue': {venue}, 'year': CASE WHEN {y} < 100 THEN 2000 + {y} ELSE {y} END}} END"
 
 
-@query(_redetect_sql())
+@query(f"WITH {SQL_COMMENTED}, v AS (SELECT {_redetect_case('comments', True)} AS v FROM com) SELECT v.venue AS venue, v.confidence AS confidence, v.year AS year, count(*) AS papers FROM v WHERE v IS NOT NULL GROUP BY ALL")
 def venue_redetect(spark, sf_dir):
     rows = A.commented(spark, sf_dir).withColumn("v", X.redetect_venue(F.col("comments"), F.lit(None).cast("string"))).where("v is not null")
     return rows.groupBy("v.venue", "v.confidence", "v.year").agg(F.count("*").alias("papers"))
 
 
-def _domain_sql() -> str:
+def sql_domain() -> str:
+    """The domain by categories, or by the lower-cased text t."""
     score = {d: " + ".join(f"contains(t, '{p.lower()}')::INT" for p in ps) for d, ps in lexicon.DOMAIN_PHRASES}
     best = "greatest(" + ", ".join(score.values()) + ")"
     category = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(categories), '{p.lower()}')" for p in ps) + f" THEN '{d}'" for d, ps in lexicon.DOMAIN_PHRASES) + " END"
     text = "CASE " + f"WHEN {best} = 0 THEN NULL " + " ".join(f"WHEN {s} = {best} THEN '{d}'" for d, s in score.items()) + " END"
-    return f"WITH {SQL_RAW}, t AS (SELECT categories, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS t FROM raw) SELECT coalesce({category}, {text}) AS domain, count(*) AS papers FROM t GROUP BY ALL"
+    return f"coalesce({category}, {text})"
 
 
-@query(_domain_sql())
+@query(f"WITH {SQL_SUB}, t AS (SELECT raw_id, categories, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS t FROM sub) SELECT {sql_domain()} AS domain, count(*) AS papers, sum(raw_id)::BIGINT AS ids FROM t GROUP BY ALL")
 def domain_classify(spark, sf_dir):
     domain = X.classify_domain(F.col("categories"), F.col("title"), F.col("abstract"))
-    return A.raw_papers(spark, sf_dir).groupBy(domain.alias("domain")).agg(F.count("*").alias("papers"))
+    return A.submissions(spark, sf_dir).groupBy(domain.alias("domain")).agg(F.count("*").alias("papers"), F.sum("raw_id").alias("ids"))
 
 
 _RAW_KEYWORDS = "rk AS (SELECT DISTINCT unnest([p_name, upper(p_type) || '-' || p_brand || '.', '  (\"' || p_type || ' Models\")', p_size::VARCHAR || '.' || p_size::VARCHAR, 'LLMs', 'vision_transformers', 'http://x.org', 'the']) AS raw FROM part)"
@@ -222,11 +228,11 @@ def keyword_acceptance(spark, sf_dir):
 # ------------------------------------------------------------ extraction
 
 
-@query("SELECT doc_id AS raw_id, split_part(text, chr(10), 1) AS abstract FROM documents")
+@query("SELECT doc_id AS raw_id, text AS abstract FROM documents")
 def inverted_index_abstract(spark, sf_dir):
-    """Each first line as an inverted index, and back."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("raw_id"), X.first_line(F.col("text")).alias("title"))
-    words = docs.select("raw_id", F.posexplode_outer(F.split("title", " ")).alias("p", "w"))
+    """Each whole text as an inverted index, and back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("raw_id"), "text")
+    words = docs.select("raw_id", F.posexplode_outer(F.split("text", " ")).alias("p", "w"))
     places = words.groupBy("raw_id", "w").agg(F.collect_list("p").alias("ps"))
     index = places.groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "ps")))).alias("index"))
     return index.select("raw_id", F.when(F.size("index") > 0, E.abstract_of(F.col("index"))).alias("abstract"))
@@ -254,7 +260,7 @@ def keyphrase_embedding(spark, sf_dir):
     return E.extract(_documents(spark, sf_dir), "keybert")
 
 
-@query()
+@query(f"WITH {SQL_RAW}, k AS (SELECT coalesce({_KEY}, '') AS k FROM raw) SELECT count(*) AS processed, count(*) FILTER (k = '') AS failed, count(DISTINCT k) FILTER (k <> '') AS success, count(*) FILTER (k <> '') - count(DISTINCT k) FILTER (k <> '') AS merged FROM k")
 def structured_batch(spark, sf_dir):
     none = F.lit(None).cast("string")
     raw = A.raw_papers(spark, sf_dir).withColumns({"venue_raw": none, "comments": F.col("abstract"), "journal_ref": none, "year": F.lit(None).cast("int")})

@@ -221,12 +221,15 @@ def quality_flags(spark, sf_dir):
     return agg.select("quality_flag", "papers", F.date_format("a", "yyyy-MM-dd").alias("first_day"), F.date_format("b", "yyyy-MM-dd").alias("last_day"))
 
 
-@query(f"""WITH {SQL_PK} SELECT method, (SELECT count(*) FROM pk p WHERE p.method <> m.method) AS rows_left, count(*) AS rows_gone FROM pk m GROUP BY method""")
+@query(f"""WITH {SQL_PK} SELECT m.method AS gone, p.method AS method, count(*) AS rows_left FROM (SELECT DISTINCT method FROM pk) m JOIN pk p ON p.method <> m.method GROUP BY ALL""")
 def delete_by_method(spark, sf_dir):
+    """What is left of the table when the rows of one method are deleted, for each of the methods."""
     pk = A.paper_keywords(spark, sf_dir)
-    per = pk.groupBy("method").agg(F.count("*").alias("rows_gone"))
-    total = per.agg(F.sum("rows_gone").alias("all"))
-    return per.join(F.broadcast(total)).select("method", (F.col("all") - F.col("rows_gone")).alias("rows_left"), "rows_gone")
+    out = None
+    for method in ("A", "N", "R"):
+        left = upsert.without_method(pk, method).groupBy(F.lit(method).alias("gone"), "method").agg(F.count("*").alias("rows_left"))
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
 @query(f"""WITH {SQL_KP}, r AS (SELECT venue, keyword, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, keyword) AS rank FROM kp GROUP BY venue, keyword)
@@ -243,6 +246,8 @@ def keyword_venue_share(spark, sf_dir):
     return counted.select("venue", "keyword", "count", pct.alias("pct"))
 
 
-@query()
+@query(f"WITH {SQL_KP} SELECT venue, true AS close FROM kp GROUP BY venue")
 def approximate_keyword_count(spark, sf_dir):
-    return _rows(spark, sf_dir).groupBy("venue").agg(F.approx_count_distinct("keyword").alias("keywords"))
+    """Whether the approximate count of each venue's keywords is within three standard errors (15 percent) of the true one."""
+    agg = _rows(spark, sf_dir).groupBy("venue").agg(F.approx_count_distinct("keyword", 0.05).alias("near"), F.count_distinct("keyword").alias("n"))
+    return agg.select("venue", (F.abs(F.col("near") - F.col("n")) <= 0.15 * F.col("n")).alias("close"))

@@ -47,6 +47,6 @@ def recent(records: DataFrame, cutoff: Column) -> DataFrame:
 def bulk(records: DataFrame, years: list[int], per_year: int) -> DataFrame:
     """Up to per_year // (number of categories) records of each category and year, earliest first."""
     kept = records.where(F.col("year").isin(years))
-    n = kept.select("category").distinct().agg(F.count("*").alias("categories"))
+    most = per_year // max(1, kept.select("category").distinct().count())  # a number, so that ranks beyond it are never sorted
     nth = F.row_number().over(Window.partitionBy("year", "category").orderBy("published_at", "raw_id"))
-    return kept.withColumn("nth", nth).join(F.broadcast(n)).where(F.col("nth") <= F.floor(F.lit(per_year) / F.col("categories"))).drop("categories")
+    return kept.withColumn("nth", nth).where(F.col("nth") <= most)
