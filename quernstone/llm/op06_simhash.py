@@ -585,10 +585,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = materialise(sketches(docs), "stage-sketches")
     own = ["doc_id", "copy", "row"]
-    ids = rows.where("doc_id is not null").select(*own, "node").join(similar(rows), "node", "left").select(*own, F.coalesce("root", "node").alias("root"))
-    first = ids.groupBy("root").agg(F.min(F.struct(*own)).alias("first"))
-    by_row = ids.join(first, "root").groupBy(*own).agg(F.count("*").alias("n"), F.bool_or(F.struct(*own) == F.col("first")).alias("stays"))
-    odd = materialise(by_row.where("n > 1 or not stays").select(*[F.col(c).alias(f"__{c}") for c in own], "stays"), "stage-odd")
+    known = rows.where("doc_id is not null")
+    # The first row of each node, then of each group of nodes: rows of a large group meet nowhere, as only their own keys are joined.
+    of_node = known.groupBy("node").agg(F.min(F.struct(*own)).alias("first"))
+    first = of_node.join(similar(rows), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    by_row = known.groupBy(*own).agg(F.count("*").alias("n")).join(first.select("first.*", F.lit(True).alias("found")), own, "left")
+    odd = by_row.select(*[F.col(c).alias(f"__{c}") for c in own], "n", F.col("found").isNotNull().alias("stays")).where("n > 1 or not stays").drop("n")
+    odd = materialise(odd, "stage-odd")
 
     def same(o: DataFrame) -> Column:
         return (F.col("doc_id") == o["__doc_id"]) & (F.xxhash64("text") == o["__copy"]) & (row_hash(docs) == o["__row"])
