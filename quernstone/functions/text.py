@@ -64,25 +64,28 @@ def normal_keyword(c: Column) -> Column:
     return F.nullif(k, F.lit(""))
 
 
-def noisy_keyword(k: Column) -> Column:
+def noisy_keyword(k: Column, least: int = 3, most: int = 60) -> Column:
     """Too short or long, numeric, mostly digits, or an address."""
     digits = F.length(F.regexp_replace(k, r"[^0-9]", ""))
-    return (F.length(k) < 3) | (F.length(k) > 60) | k.rlike(r"^[0-9\s.,-]+$") | (digits * 2 > F.length(k)) | k.rlike(r"http|www|\.com|\.org|@")
+    return (F.length(k) < least) | (F.length(k) > most) | k.rlike(r"^[0-9\s.,-]+$") | (digits * 2 > F.length(k)) | k.rlike(r"http|www|\.com|\.org|@")
 
 
-def listed_keyword(k: Column) -> Column:
-    return k.isin(sorted({*lexicon.BANNED_WORDS, *lexicon.STOPWORDS, *lexicon.DOMAIN_NOISE}))
+def listed_keyword(k: Column, words: list[str] | None = None) -> Column:
+    """Whether the keyword is on a word list, by default the engine's three."""
+    return k.isin(sorted({*lexicon.BANNED_WORDS, *lexicon.STOPWORDS, *lexicon.DOMAIN_NOISE} if words is None else set(words)))
 
 
-def synonym(k: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in lexicon.SYNONYMS.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, k), k)
+def synonym(k: Column, pairs: dict[str, str] | None = None) -> Column:
+    pairs = lexicon.SYNONYMS if pairs is None else pairs
+    if not pairs:
+        return k
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), k), k)
 
 
-def clean_keyword(c: Column) -> Column:
-    """Normal form of a keyword that passes every filter, by its main spelling; else NULL."""
+def clean_keyword(c: Column, words: list[str] | None = None, synonyms: dict[str, str] | None = None, least: int = 3, most: int = 60) -> Column:
+    """Normal form of a keyword that passes every filter, by its main spelling; else NULL. Word list, spellings and lengths can be given."""
     k = normal_keyword(c)
-    return F.when(k.isNotNull() & ~noisy_keyword(k) & ~listed_keyword(k), synonym(k))
+    return F.when(k.isNotNull() & ~noisy_keyword(k, least, most) & ~listed_keyword(k, words), synonym(k, synonyms))
 
 
 def valid_bucket_keyword(c: Column) -> Column:

@@ -297,3 +297,30 @@ def user_sql(spark, sf_dir):
     udfs.register(spark)
     _rows(spark, sf_dir).createOrReplaceTempView("quernstone_rows")
     return spark.sql("SELECT venue, count(*) AS rows, count(DISTINCT keyword) AS keywords FROM quernstone_rows WHERE year > 1994 GROUP BY venue HAVING count(*) > 10")
+
+
+@query(f"WITH {SQL_PK} SELECT paper_id, count(*) AS keywords FROM (SELECT DISTINCT paper_id, keyword FROM pk WHERE method IN ('A', 'R')) GROUP BY paper_id")
+def united_keywords(spark, sf_dir):
+    """What either of two methods found, each keyword of a paper once."""
+    from quernstone.operators.extract import united
+
+    pk = A.paper_keywords(spark, sf_dir)
+    return united(pk.where("method = 'A'"), pk.where("method = 'R'")).groupBy("paper_id").agg(F.count("*").alias("keywords"))
+
+
+@query(f"WITH {SQL_VENUES}, p AS (SELECT o_orderkey AS paper_id, o_custkey % 200 AS venue_id FROM orders) SELECT 'known' AS asked, count(*) AS papers FROM p WHERE venue_id = (SELECT venue_id FROM ven WHERE name = 'Supplier#000000003') UNION ALL SELECT 'unknown', 0 UNION ALL SELECT 'unknown, lenient', count(*) FROM p")
+def venue_resolution(spark, sf_dir):
+    """An unknown venue gives no papers, or with lenient=True all."""
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_custkey") % 200).alias("venue_id"))
+    v = A.venues(spark, sf_dir).withColumnRenamed("name", "canonical_name")
+    one = lambda asked, name, lenient=False: L.count_of(P.resolve_venue(p, v, name, lenient), "papers").select(F.lit(asked).alias("asked"), "papers")
+    return one("known", "Supplier#000000003").unionByName(one("unknown", "nowhere")).unionByName(one("unknown, lenient", "nowhere", True))
+
+
+@query("""WITH c AS (SELECT c AS category, count(*) AS papers FROM events, (SELECT unnest(['click', 'view', 'zz']) AS c) WHERE contains(lower(event_type), c) GROUP BY c), n AS (SELECT count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS a, strftime(max(ts), '%Y-%m-%d') AS b FROM events)
+    SELECT '{"total":' || n || ',"first":"' || a || '","last":"' || b || '","categories":{' || coalesce((SELECT string_agg('"' || category || '":' || papers, ',' ORDER BY category) FROM c), '') || '}}' AS json FROM n""")
+def export_stats(spark, sf_dir):
+    rows = A.events(spark, sf_dir).withColumnRenamed("category", "categories")
+    per = S.category_counts(rows, ["click", "view", "zz"]).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "papers")))).alias("categories"))  # a row a category
+    one = rows.agg(F.count("*").alias("total"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last"))
+    return one.join(F.broadcast(per)).select(F.to_json(F.struct("total", "first", "last", "categories")).alias("json"))

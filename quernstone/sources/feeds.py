@@ -91,3 +91,22 @@ def tallies(known: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     saved = F.when((good > 0) & F.col("seen").isNull(), 1).otherwise(0)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return seen.agg(total(saved).alias("saved"), total(good - saved).alias("duplicates"), total("bad").alias("errors"))
+
+
+def plan_run(sources: list[str], configured: dict[str, list[int]], venues: list[str] | None = None, years: list[int] | None = None, categories: list[str] | None = None) -> list[dict]:
+    """The requests of an ingestion run, source by source.
+
+    arxiv takes categories and needs no venue; openalex and s2 are asked only if both venues and years are given; openreview takes the given venues, or all
+    that are configured, in the given years, or 2024 and 2023, as far as they are configured for the venue.
+    """
+    out: list[dict] = []
+    for source in sources:
+        if source == "arxiv":
+            out.append({"source": source, "search": arxiv_expression(categories or [])})
+        elif source in ("openalex", "s2"):
+            out += [{"source": source, "venue": v, "year": y} for v in venues or [] for y in years or []]
+        elif source == "openreview":
+            out += [{"source": source, "venue": v, "year": y} for v in venues or configured for y in years or (2024, 2023) if y in configured.get(v, [])]
+        else:
+            raise ValueError(f"unknown source: {source}")
+    return out
