@@ -27,6 +27,22 @@ def test_search_text_and_filters():
     assert feeds.works_filter(venue="V", year=2020, type=None) == "venue:V,year:2020"
 
 
+def test_runs_are_planned_by_source():
+    known = {"ICLR": [2024, 2022], "NeurIPS": [2023]}
+    plan = feeds.plan_run(["openreview", "arxiv", "openalex", "s2"], known, categories=["cs.LG"])
+    assert plan == [{"source": "openreview", "venue": "ICLR", "year": 2024}, {"source": "openreview", "venue": "NeurIPS", "year": 2023}, {"source": "arxiv", "search": "(cat:cs.LG)"}]
+    assert feeds.plan_run(["s2", "openreview"], known, ["ICLR"], [2022, 2021]) == [{"source": "s2", "venue": "ICLR", "year": y} for y in (2022, 2021)] + [{"source": "openreview", "venue": "ICLR", "year": 2022}]
+    assert feeds.plan_run(["openalex"], known, ["ICLR"]) == []
+    with pytest.raises(ValueError):
+        feeds.plan_run(["x"], known)
+
+
+def test_lists_can_be_given(spark):
+    one = lambda k, **kw: spark.range(1).select(X.clean_keyword(F.lit(k), **kw).alias("x")).first()["x"]
+    assert one("Methods") is None and one("Methods", words=["other"]) == "methods" and one("other", words=["other"]) is None
+    assert one("RL", least=2, synonyms={"rl": "reinforcement"}) == "reinforcement" and one("abcdef", most=5) is None
+
+
 def test_pages_stop_where_few_are_recent(spark):
     at = lambda day: dt.datetime(2024, 6, day)
     data = [(i, at(10) if i < 5 or i in (6, 8) else at(1), 2023) for i in range(8)] + [(8, at(10), 2023), (9, None, 2024)]
