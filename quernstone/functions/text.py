@@ -120,6 +120,7 @@ def detect_venue(source: Column, venue_raw: Column, comments: Column, journal_re
 
 
 def _dated_patterns(name: str, long_name: str | None) -> list[str]:
+    # The forms in which a venue stands beside its year.
     names = ([name, "NIPS"] if name == "NeurIPS" else [name])
     out = [rf"{x}['\s]*(\d{{2,4}})" for x in names] + [rf"accepted\s+(?:by|at|to)\s+{name}['\s]*(\d{{2,4}})?"]
     if long_name:
@@ -134,20 +135,23 @@ def full_year(digits: Column) -> Column:
 
 def venue_and_year(c: Column, from_comments: bool) -> Column:
     """struct(confidence, venue, year) of the first dated pattern; of comments those that say "accepted" weigh 0.9, others 0.7, of journal references all 0.8."""
-    out = None
-    for name, long_name in lexicon.VENUES_WITH_YEAR:
-        for p in _dated_patterns(name, long_name):
-            weight = (0.9 if p.startswith("accepted") else 0.7) if from_comments else 0.8
-            value = F.struct(F.lit(weight).alias("confidence"), F.lit(name).alias("venue"), full_year(F.regexp_extract(c, "(?i)" + p, 1)).alias("year"))
-            hit = F.coalesce(c.rlike("(?i)" + p), F.lit(False))
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    forms = [(name, p, (0.9 if p.startswith("accepted") else 0.7) if from_comments else 0.8) for name, long_name in lexicon.VENUES_WITH_YEAR for p in _dated_patterns(name, long_name)]
+    pick = lambda n, of: F.get(F.array(*[F.lit(x) for x in of]), n)
+    # Every form holds a venue's name: a text without any is done after one search. A branch gives its number alone, and the year is looked for once.
+    names = sorted({n for row in lexicon.VENUES_WITH_YEAR for n in row if n} | {"NIPS"})
+    number = F.when(c.rlike("(?i)" + "|".join(names)), first_match([(F.lit(i), c.rlike("(?i)" + p)) for i, (_, p, _) in enumerate(forms)], F.lit(None).cast("int")))
+
+    def value(n: Column) -> Column:
+        year = full_year(F.call_function("regexp_extract", c, pick(n, ["(?i)" + p for _, p, _ in forms]), F.lit(1)))
+        return F.when(n.isNotNull(), F.struct(pick(n, [w for *_, w in forms]).alias("confidence"), pick(n, [v for v, *_ in forms]).alias("venue"), year.alias("year")))
+
+    return let(number, value)
 
 
 def redetect_venue(comments: Column, journal_ref: Column) -> Column:
     """The surer of comments and journal reference, comments if they are equal."""
-    a, b = venue_and_year(comments, True), venue_and_year(journal_ref, False)
-    return F.when(b.isNull() | (a["confidence"] >= b["confidence"]), a).otherwise(b)
+    both = F.struct(venue_and_year(comments, True).alias("a"), venue_and_year(journal_ref, False).alias("b"))
+    return let(both, lambda x: F.when(x["b"].isNull() | (x["a"]["confidence"] >= x["b"]["confidence"]), x["a"]).otherwise(x["b"]))
 
 
 def venue_kind(venue: Column, source: Column, journal_ref: Column, categories: Column) -> Column:
