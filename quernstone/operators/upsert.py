@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,10 +54,16 @@ class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+#: As many runs of one size are merged into one of the next.
+RUNS = 4
+
+
 class Table:
-    """A Parquet table with versions: each write is a new folder, and a version file, which a rename that never overwrites makes visible, names it.
+    """A Parquet table with versions: a version is a list of runs, folders of rows, which a file that a rename never overwrites makes visible.
 
-    Readers see whole versions only. Of two writers that started from one version the later to commit gets a Conflict, and nothing of it is seen.
+    An upsert writes its own rows alone, as a new run; RUNS runs of one size are merged into one, so that a row is written again as often as the table grows
+    RUNS-fold. Readers see whole versions only, of each key the row of the latest run. Of two writers that started from one version the later to commit gets
+    a Conflict, and nothing of it is seen.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -78,22 +86,56 @@ class Table:
     def exists(self) -> bool:
         return self.version() > 0
 
-    def read(self, version: int | None = None) -> DataFrame:
-        stream = self._fs.open(self._path(f"{self.root}/_versions/{version or self.version():012d}"))
+    def state(self, version: int | None = None) -> dict:
+        """What a version holds: `key`, or None where rows have none, and `runs` from the oldest on, each a folder and how often it was merged."""
+        version = self.version() if version is None else version
+        if not version:
+            return {"key": None, "runs": []}
+        stream = self._fs.open(self._path(f"{self.root}/_versions/{version:012d}"))
         try:
-            return self.spark.read.parquet(f"{self.root}/{stream.readUTF()}")
+            return json.loads(stream.readUTF())
         finally:
             stream.close()
 
+    def read(self, version: int | None = None) -> DataFrame:
+        state = self.state(version)
+        if not state["runs"]:
+            raise FileNotFoundError(f"{self.root} has no version")
+        return self._merged(state["runs"], state["key"])
+
     def write(self, rows: DataFrame, partition_by: list[str] | None = None, base: int | None = None) -> int:
         """Makes rows the version after `base`, by default the latest when the write began; returns it."""
         base = self.version() if base is None else base
+        return self._commit({"key": None, "runs": [[self._run(rows, partition_by), 0]]}, base)
+
+    def upsert(self, new: DataFrame, key: list[str], order: list[Column]) -> int:
+        """new's rows in place of those of the same key; of equal keys in new, the last. The first upsert of a table that was written under no key, or another, writes it anew."""
+        base = self.version()
+        state = self.state(base)
+        runs = state["runs"]
+        if runs and state["key"] != key:
+            return self._commit({"key": key, "runs": [[self._run(upsert(self._merged(runs, state["key"]), new, key, order)), 0]]}, base)
+        runs = [*runs, [self._run(last_wins(new, key, order)), 0]]
+        while len(runs) >= RUNS and len({merged for _, merged in runs[-RUNS:]}) == 1:
+            runs[-RUNS:] = [[self._run(self._merged(runs[-RUNS:], key)), runs[-1][1] + 1]]
+        return self._commit({"key": key, "runs": runs}, base)
+
+    def _merged(self, runs: list, key: list[str] | None) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.root}/{name}") for name, _ in runs]
+        if len(parts) == 1:
+            return parts[0]
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("__run", F.lit(i)) for i, p in enumerate(parts)])
+        return last_wins(both, key, [F.col("__run")]).drop("__run")
+
+    def _run(self, rows: DataFrame, partition_by: list[str] | None = None) -> str:
         name = f"v-{uuid.uuid4().hex}"
-        writer = rows.write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
-        draft, final = (self._path(f"{self.root}/_versions/{x}") for x in (f"_{name}", f"{base + 1:012d}"))
+        (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(f"{self.root}/{name}")
+        return name
+
+    def _commit(self, state: dict, base: int) -> int:
+        draft, final = (self._path(f"{self.root}/_versions/{x}") for x in (f"_{uuid.uuid4().hex}", f"{base + 1:012d}"))
         stream = self._fs.create(draft, False)
-        stream.writeUTF(name)
+        stream.writeUTF(json.dumps(state))
         stream.close()
         try:
             self._files.rename(draft, final, self._once)
@@ -103,8 +145,3 @@ class Table:
                 raise Conflict(f"version {base + 1} is there already") from e
             raise
         return base + 1
-
-    def upsert(self, new: DataFrame, key: list[str], order: list[Column]) -> int:
-        base = self.version()
-        current = self.read(base) if base else new.limit(0)
-        return self.write(upsert(current, new, key, order), base=base)

@@ -98,6 +98,38 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert rows(table.read(), "k") == [(1, 1), (2, 2)] and rows(table.read(base), "k") == [(1, 1), (2, 1)]
 
 
+def test_runs_of_many_upserts(spark, tmp_path):
+    """Each upsert writes its own rows; runs of one size are merged; any version reads as the last rows of its keys."""
+    table = upsert.Table(spark, f"file://{tmp_path}/t")
+    want, merged = {}, []
+    for i in range(9):
+        new = [(k, i * 10 + n) for k in (i % 3, i) for n in (0, 1)]
+        table.upsert(spark.createDataFrame(new, "k int, v int"), ["k"], [F.col("v")])
+        want |= {k: v for k, v in new}
+        merged.append([m for _, m in table.state()["runs"]])
+        if i == 4:
+            then = sorted(want.items())
+    assert merged == [[0], [0, 0], [0, 0, 0], [1], [1, 0], [1, 0, 0], [1, 0, 0, 0], [1, 1], [1, 1, 0]]
+    assert rows(table.read(), "k") == sorted(want.items()) and rows(table.read(5), "k") == then
+    last = table.state()["runs"][-1][0]
+    assert spark.read.parquet(f"file://{tmp_path}/t/{last}").count() == 2
+
+
+def test_upserts_into_what_was_written(spark, tmp_path):
+    """Rows written under no key are rewritten once; columns that a later batch adds are NULL before it; an empty batch changes nothing."""
+    table = upsert.Table(spark, f"file://{tmp_path}/t")
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.write(spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "k int, v int"))
+    assert table.read().count() == 3
+    table.upsert(spark.createDataFrame([(2, 5)], "k int, v int"), ["k"], [F.col("v")])
+    table.upsert(spark.createDataFrame([(None, 9, "x")], "k int, v int, w string"), ["k"], [F.col("v")])
+    table.upsert(spark.createDataFrame([], "k int, v int"), ["k"], [F.col("v")])
+    got = sorted(map(tuple, table.read().select("k", "v", "w").collect()), key=str)
+    assert got == [(1, 2, None), (2, 5, None), (None, 9, "x")]
+    assert len(table.state()["runs"]) == 3
+
+
 def test_unknown_venues(spark):
     papers = spark.createDataFrame([(1, 7), (2, 8)], "paper_id int, venue_id int")
     venues = spark.createDataFrame([(7, "ICLR")], "venue_id int, canonical_name string")
