@@ -35,16 +35,20 @@ def emerging_topics(counted: DataFrame, window: int = 4, min_growth: float = 1.5
     enough = counted.select("category", "bucket").distinct().groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * window).select("category")
     rows = counted.join(F.broadcast(enough), "category", "left_semi")
     if dense:
-        first = rows.groupBy("category", "keyword").agg(F.min("bucket").alias("since"))
-        grid = first.join(rows.select("category", "bucket").distinct(), "category").where("bucket >= since").drop("since")
-        rows = grid.join(rows, ["category", "keyword", "bucket"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("category", "keyword").orderBy(F.desc("bucket")))
-    agg = rows.withColumn("nth", nth).groupBy("category", "keyword").agg(
-        F.count("*").alias("n"),
-        F.avg(F.when(F.col("nth") <= window, F.col("count"))).alias("recent"),
-        F.avg(F.when((F.col("nth") > window) & (F.col("nth") <= 2 * window), F.col("count"))).alias("past"),
+        # Places of a category's buckets from the latest on: a keyword's series is as long as the place of its first bucket, so no bucket without it need be made.
+        buckets = rows.select("category", "bucket").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("bucket"))))  # a row a bucket
+        rows, n = rows.join(buckets, ["category", "bucket"]), F.max("nth")
+    else:
+        rows, n = rows.withColumn("nth", F.row_number().over(Window.partitionBy("category", "keyword").orderBy(F.desc("bucket")))), F.count("*")
+    late = F.col("nth") <= window
+    sums = rows.groupBy("category", "keyword").agg(
+        n.alias("n"),
+        F.coalesce(F.sum(F.when(late, F.col("count"))), F.lit(0)).cast("double").alias("recent"),
+        F.coalesce(F.sum(F.when(~late & (F.col("nth") <= 2 * window), F.col("count"))), F.lit(0)).cast("double").alias("past"),
         F.min("bucket").alias("first_seen"),
     )
+    past = F.when(F.col("n") > window, F.col("past") / (F.least("n", F.lit(2 * window)) - window))
+    agg = sums.withColumns({"recent": F.col("recent") / F.least("n", F.lit(window)), "past": past})
     rate = F.col("recent") / F.when(F.coalesce(F.col("past"), F.lit(0.0)) > 0, F.col("past")).otherwise(F.lit(baseline))
     trend = F.when(F.col("rate") >= min_growth, "rising").when(F.col("rate") <= falling, "declining").otherwise("stable")
     out = agg.where(F.col("n") >= window).withColumn("rate", rate).withColumn("trend", trend).where("trend = 'rising'")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
 from quernstone.operators import batch as B
-from quernstone.operators import export, filters, upsert
+from quernstone.operators import export, filters, series, upsert
 from quernstone.operators import lookups as L
 from quernstone.operators import quality as Q
 from quernstone.sources import feeds
@@ -130,6 +131,30 @@ def test_upserts_into_what_was_written(spark, tmp_path):
     assert len(table.state()["runs"]) == 3
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_emerging_topics_by_plain_loops(spark, dense):
+    """Sparse and dense series against lists made bucket by bucket."""
+    rng = random.Random(5)
+    data = {(c, k, b): rng.randint(1, 9) * (1 + b // 3) for c in "xy" for k in "abcdefghij" for b in range(12 if c == "x" else 5) if rng.random() < 0.6}
+    counted = spark.createDataFrame([(c, k, b, n) for (c, k, b), n in data.items()], "category string, keyword string, bucket int, count bigint")
+    got = {(r["category"], r["keyword"]): (r["growth_rate"], r["first_seen"], r["recent_count"]) for r in series.emerging_topics(counted, window=3, dense=dense).collect()}
+    want = {}
+    for c in "xy":
+        buckets = sorted({b for d, _, b in data if d == c})
+        for k in "abcdefghij":
+            own = [b for b in buckets if (c, k, b) in data]
+            line = [data.get((c, k, b), 0) for b in buckets if own and b >= own[0]] if dense else [data[c, k, b] for b in own]
+            if len(buckets) < 6 or len(line) < 3:
+                continue
+            recent, before = sum(line[-3:]) / 3, line[-6:-3]
+            mean = sum(before) / len(before) if before else 0
+            rate = recent / (mean if mean > 0 else 0.1)
+            if rate >= 1.5:
+                want[c, k] = (rate, own[0], int(recent))
+    assert want and set(got) == set(want)
+    assert all(abs(got[x][0] - want[x][0]) <= 0.0051 and got[x][1:] == want[x][1:] for x in want)
+
+
 def test_unknown_venues(spark):
     papers = spark.createDataFrame([(1, 7), (2, 8)], "paper_id int, venue_id int")
     venues = spark.createDataFrame([(7, "ICLR")], "venue_id int, canonical_name string")
