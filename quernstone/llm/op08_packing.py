@@ -33,9 +33,9 @@ from quernstone.llm._common import materialise
 CAPACITY, END_ID = 1024, 2
 #: Rows of a written file that are ranked together at most.
 RANK_GROUP = 2_000
-#: White space beyond this many characters is encoded as the one token run that the pattern makes of it: the pattern's look-ahead
-#: would need more stack than there is.
-LONG_GAP = 4_096
+#: White space of so many characters or more is encoded as the one token run that the pattern makes of it: the pattern's look-ahead takes time with the
+#: square of a gap, and more stack than there is.
+LONG_GAP = 512
 
 
 @functools.cache
