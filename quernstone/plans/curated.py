@@ -260,7 +260,7 @@ def bucket_keyword_tiers(spark, sf_dir):
 
 @query()
 def bucket_keyword_phrases(spark, sf_dir):
-    """Whole texts of a language and source as one: stored keywords (none here), then key phrases, then title words."""
+    """Whole texts of a language and source count as one: its key phrases, or title words where it has none."""
     papers = A.raw_papers(spark, sf_dir).select(F.col("raw_id").alias("paper_id"), F.concat_ws(" ", "categories", "source").alias("bucket"), "title", "abstract")
     return E.tiered([E.phrase_tier(papers, 10), E.token_tier(papers)], 10, ("bucket",))
 

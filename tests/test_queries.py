@@ -87,19 +87,17 @@ def test_phrases_of_buckets_by_plain_loops(spark, duck, sf_dir):
 
     got = sorted(tuple(r) for r in registry.QUERIES["bucket_keyword_phrases"](spark, sf_dir).select("bucket", "keyword", "count", "tier").collect())
     valid = lambda k: re.fullmatch(r"[a-z][a-z\s-]*", k.lower().strip()) and len(k.strip()) > 2
-    best, words = {}, {}
-    for lang, source, text in duck.sql("SELECT lang, source, coalesce(text, '') FROM documents").fetchall():
+    united, words = {}, {}
+    for lang, source, text in duck.sql("SELECT lang, source, coalesce(text, '') FROM documents ORDER BY doc_id").fetchall():
         bucket = " ".join(x for x in (lang, source) if x is not None)
         title, _, abstract = text.partition("\n")
-        for k, s in udfs.statistical_phrases(f"{title}. {abstract}"):
-            best.setdefault(bucket, {})[k] = max(best.get(bucket, {}).get(k, s), s)
+        united.setdefault(bucket, []).append(f"{title}. {abstract}")
         for w in re.split(r"[^\w]+", title.lower()):
             if re.fullmatch("[a-z]{3,}", w) and w not in lexicon.TITLE_STOPWORDS:
                 words.setdefault(bucket, Counter())[w] += 1
     want = []
-    for bucket in {*best, *words}:
-        ranked = sorted(best.get(bucket, {}).items(), key=lambda x: (-x[1], x[0]))[:20]
-        first = sorted(k for k, _ in ranked if valid(k))[:10]
+    for bucket, texts in united.items():
+        first = sorted(k for k, _ in udfs.statistical_phrases("\n".join(texts), top=20) if valid(k))[:10]
         want += [(bucket, k, 1, 0) for k in first] or [(bucket, k, n, 1) for k, n in sorted(words.get(bucket, {}).items(), key=lambda x: (-x[1], x[0]))[:10]]
     assert got == sorted(want)
 
