@@ -167,7 +167,7 @@ def train(stats, row, column, value, y, seed: int = 3) -> Machine:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine of up to SAMPLE labelled rows; a fifth of them sets the curve from its output to a score."""
-    sample = labelled_sample(docs, labels, "quality", SAMPLE, METADATA)
+    sample = labelled_sample(docs, labels, "quality", SAMPLE, METADATA).withColumn("key", F.xxhash64("text", *METADATA))
 
     def run(batches):
         import pyarrow as pa
@@ -181,9 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (column.astype(np.int32), value.astype(np.float32))]
                 k = stats.shape[1]
                 lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * k, k, dtype=np.int32)), pa.array(stats.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *lists], names=["label", "column", "value", "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], names=["key", "label", "column", "value", "stats"])
 
-    table = sample.select("text", "label", *METADATA).mapInArrow(run, "label int, column array<int>, value array<float>, stats array<double>").toArrow().combine_chunks()
+    table = sample.select("text", "label", *METADATA, "key").mapInArrow(run, "key bigint, label int, column array<int>, value array<float>, stats array<double>").toArrow()
+    # The order of training, and the fifth, go by what the rows hold, so that no other partitioning or retry gives another machine.
+    table = table.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     y = (table.column("label").to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         k = len(STATISTICS)
