@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
+from quernstone.llm._common import free_name
+
 MANIFEST = "path string, bytes bigint, rows bigint, tier int, since bigint"
 
 
@@ -144,6 +146,31 @@ class ShardStore:
         kept = [tuple(r) for r in self.manifest(base).collect()]
         return self._commit(base, kept + self._written(folder, base + 1), schema)
 
+    def append_each(self, rows: DataFrame, arrivals: int, key: str, each=None) -> int:
+        """Takes rows in as `arrivals` arrivals, dealt by a hash of the key column: one job writes the shards of all, and each arrival is a commit of its own.
+
+        each: called after every commit, as by a compactor that runs beside the writers. Arrivals without rows commit nothing, but no rows at all are one
+        empty arrival; returns the version.
+        """
+        base = self.version()
+        schema = merged_schema(self.schema(base), rows.schema)
+        name = free_name("arrival", rows.columns)
+        folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
+        dealt = rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(arrivals)))
+        dealt.write.option("maxRecordsPerFile", self.arrival_rows).option("compression", "zstd").partitionBy(name).parquet(folder)
+        if not any(x.isDirectory() for x in self._fs.listStatus(self._path(folder))):
+            return self.append(rows)
+        of: dict[str, list[tuple]] = {}
+        for path, size, n, tier, _ in self._written(folder, base):
+            of.setdefault(path.rsplit("/", 2)[1], []).append((path, size, n, tier))
+        for _, shards in sorted(of.items()):
+            base = self.version()
+            kept = [tuple(r) for r in self.manifest(base).collect()]
+            self._commit(base, kept + [(*s, base + 1) for s in shards], schema)
+            if each is not None:
+                each()
+        return self.version()
+
     def plan(self, shards: list[tuple]) -> list[list[tuple]]:
         """The runs to merge: shards of one tier below half the target, if they are at least fanout or fill a target.
 
@@ -200,15 +227,35 @@ class ShardStore:
         for path in sorted(old - live):
             self._fs.delete(self._path(path), False)
         for v in range(1, last - keep + 1):
-            self._fs.delete(self._path(f"{self.root}/versions/{v:012d}"), False)
+            at = self._path(f"{self.root}/versions/{v:012d}")
+            if self._fs.exists(at):
+                self._fs.delete(self._path(f"{self.root}/{self._pointer(v)['manifest']}"), True)
+                self._fs.delete(at, False)
         return len(old - live)
 
 
+#: Arrivals of the query's table, after how many of them the compactor looks, and the size up to which a shard is of the lowest tier there.
+ARRIVALS, EVERY, LOWEST = 16, 4, 1 << 16
+
+
 def round_trip(docs: DataFrame, root: str, **options) -> DataFrame:
-    """docs as they come back from a store that has taken them in and been compacted until it settles: (doc_id, lang, source, n_bytes, text_sha256)."""
-    store = ShardStore(docs.sparkSession, root, **options)
-    store.append(docs)
-    store.settle()
+    """docs as they come back from a store that has taken them in as ARRIVALS arrivals and was compacted after every EVERY of them and until it settled:
+    (doc_id, lang, source, n_bytes, text_sha256, arrivals, merged), merged being whether at least two rounds of merges were committed on the way."""
+    store = ShardStore(docs.sparkSession, root, **{"base_bytes": LOWEST} | options)
+    commits = rounds = 0
+
+    def compactor() -> None:
+        nonlocal commits, rounds
+        commits += 1
+        if commits % EVERY == 0:
+            before = store.version()
+            rounds += store.compact() - before
+            store.expire()
+
+    store.append_each(docs, ARRIVALS, "doc_id", compactor)
+    before = store.version()
+    rounds += store.settle() - before
     store.expire()
     rows = store.read()
-    return rows.select("doc_id", "lang", "source", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    said = [F.lit(ARRIVALS).cast("bigint").alias("arrivals"), F.lit(rounds >= 2).alias("merged")]
+    return rows.select("doc_id", "lang", "source", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), *said)

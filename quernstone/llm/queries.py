@@ -132,7 +132,8 @@ def _fim_sql() -> str:
 
 ORACLES: dict[str, str] = {
     "op1_sharding": """
-        SELECT doc_id, lang, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+        SELECT doc_id, lang, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256,
+            CAST(16 AS BIGINT) AS arrivals, true AS merged
         FROM documents
     """,
     "op10_secret_scan": _secrets_sql(),

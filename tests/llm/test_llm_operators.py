@@ -107,6 +107,48 @@ def test_a_store_without_rows(spark, docs, tmp_path):
     assert op01_sharding.round_trip(docs, f"file://{tmp_path}/u").count() == N
 
 
+def test_arrivals_are_merged_in_rounds(spark, tmp_path):
+    """Sixteen arrivals; merges of the lowest tier, and of what they made; no shard, manifest or version of before is left."""
+    store = op01_sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=400_000, base_bytes=4_000, arrival_rows=20)
+    rows = spark.range(3000).selectExpr("id AS doc_id", "sha2(cast(cast(id AS string) AS binary), 512) AS text")
+    seen = []
+
+    def look():
+        before = store.manifest().count()
+        if len(seen) % 4 == 3 and store.compact():
+            seen.append((before, store.manifest().count()))
+        else:
+            seen.append(None)
+        store.expire()
+
+    assert store.append_each(rows, 16, "doc_id", look) > 16
+    assert all(after < before for before, after in filter(None, seen)) and len(list(filter(None, seen))) == 4
+    tiers = {r.tier for r in store.manifest().collect()}
+    store.settle()
+    store.expire()
+    assert len(tiers) > 1 or store.manifest().count() == 1
+    assert store.read().exceptAll(rows).count() == 0 == rows.exceptAll(store.read()).count()
+    assert len(list((tmp_path / "s" / "manifest").iterdir())) == 1 == len([x for x in (tmp_path / "s" / "versions").iterdir() if x.name.isdigit()])
+    assert len(list((tmp_path / "s" / "data").rglob("*.parquet"))) == store.manifest().count()
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    """Classifiers learn the same from rows dealt in any way."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    scores = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (3, 8, 31):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            for name, f in (("toxicity", op02_toxicity.classify), ("quality", op03_quality.classify)):
+                got = {r.doc_id: r.score for r in f(docs.repartition(n), labels.repartition(n)).collect()}
+                assert got == pytest.approx(scores.setdefault(name, got), abs=1e-9), (name, n)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 # ------------------------------------------------------------ 2
 
 
