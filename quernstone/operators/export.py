@@ -36,7 +36,7 @@ def keywords_index(total_ranks: DataFrame) -> DataFrame:
 
 def venues_index(registry: DataFrame, summary: DataFrame) -> DataFrame:
     """Registry rows with the summary's paper counts and first ten keywords; a venue without a summary has none. Tier is A, domain ML by default."""
-    joined = registry.join(F.broadcast(summary), "name", "left")
+    joined = registry.join(summary, "name", "left")
     return joined.select("name", "full_name", F.coalesce("domain", F.lit("ML")).alias("domain"), F.lit("A").alias("tier"), "years_available", F.coalesce("paper_count", F.lit(0)).alias("paper_count"), F.slice("top_keywords", 1, 10).alias("top_keywords"))
 
 

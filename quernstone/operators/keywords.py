@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.filters import where
+from quernstone.scratch import written
 
 
 def of_papers(pk: DataFrame, papers: DataFrame, venue: str | None = None, year: int | None = None, method: str | None = None) -> DataFrame:
@@ -42,6 +43,25 @@ def listed(ranks: DataFrame, by: list[str], name: str = "top_keywords") -> DataF
     return ranks.groupBy(*by).agg(F.array_join(F.transform(items, lambda x: F.concat(x["keyword"], F.lit(":"), x["count"].cast("string"))), "|").alias(name))
 
 
+#: Levels of the cube: which of venue and year a count is for; the other is NULL.
+BY_VENUE_YEAR, BY_VENUE, BY_YEAR, OVERALL = 0, 1, 2, 3
+
+
+def cube(rows: DataFrame) -> DataFrame:
+    """(level, venue, year, keyword, count) for every venue and year, venue, year, and all: rows are counted once, the coarser levels from these counts.
+
+    It is written, so that all that reads it shares one pass over the rows. Its size is that of the distinct (venue, year, keyword).
+    """
+    finest = counts(rows, "venue", "year")
+    sets = finest.groupingSets([["venue", "year", "keyword"], ["venue", "keyword"], ["year", "keyword"], ["keyword"]], "venue", "year", "keyword")
+    level = (F.grouping("venue") * 2 + F.grouping("year")).cast("int").alias("level")
+    return written(sets.agg(F.sum("count").alias("count"), level).select("level", "venue", "year", "keyword", "count"), "cube")
+
+
+def of_level(cubed: DataFrame, level: int) -> DataFrame:
+    return cubed.where(F.col("level") == level)
+
+
 def as_structs(ranks: DataFrame, by: list[str], name: str = "top_keywords") -> DataFrame:
     """One row for each group, its keywords by rank as array<struct<keyword, count>>."""
     items = F.array_sort(F.collect_list(F.struct("rank", "keyword", "count")))
@@ -75,26 +95,27 @@ def trend_grid(rows: DataFrame, by: list[str], per_year: int = 100, keywords: in
     return filled.select(*by, "keyword", "year", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
-def _frequencies(rows: DataFrame, papers: DataFrame, latest_k: int, min_count: int, compared: int) -> DataFrame:
-    """Of the latest year's first keywords: relative frequency (per 1000 papers) in it and in each compared year."""
-    sizes = papers.groupBy("year").agg(F.count("*").alias("papers"))
-    order = sizes.select("year", "papers", F.row_number().over(Window.orderBy(F.desc("year"))).alias("nth"))  # a row a year
-    latest = order.where("nth = 1").select("year")
-    window = order.where(F.col("nth") <= compared + 1)
-    # Both the latest year's first keywords and their counts of other years come from one count of the window's years.
-    by_year = counts(rows.join(F.broadcast(window.select("year")), "year", "left_semi"), "year")
-    top_now = by_year.join(F.broadcast(latest), "year", "left_semi").orderBy(F.desc("count"), "keyword").limit(latest_k).where(F.col("count") >= min_count).select("keyword")
-    grid = top_now.join(F.broadcast(window))
-    full = grid.join(by_year, ["keyword", "year"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    return full.withColumn("freq", F.col("count") / F.greatest("papers", F.lit(1)).cast("double") * 1000)
+def emerging(rows: DataFrame, papers: DataFrame, min_growth: float = 1.5, k: int = 20, latest_k: int = 300, min_count: int = 5, compared: int = 2) -> DataFrame:
+    return emerging_of(counts(rows, "year"), papers, min_growth, k, latest_k, min_count, compared)
+
 
+def emerging_of(by_year: DataFrame, papers: DataFrame, min_growth: float = 1.5, k: int = 20, latest_k: int = 300, min_count: int = 5, compared: int = 2) -> DataFrame:
+    """(keyword, count, is_new, growth_rate) of the latest year's first keywords, from (year, keyword, count): its frequency (per 1000 papers) over the mean of the years before it;
+    new ones (mean under 0.1), which have infinite growth, first.
 
-def emerging(rows: DataFrame, papers: DataFrame, min_growth: float = 1.5, k: int = 20, latest_k: int = 300, min_count: int = 5, compared: int = 2) -> DataFrame:
-    """(keyword, count, is_new, growth_rate): by the latest year's frequency over the mean of those before; new ones (mean under 0.1), which have infinite growth, first."""
-    f = _frequencies(rows, papers, latest_k, min_count, compared)
-    agg = f.groupBy("keyword").agg(F.sum(F.when(F.col("nth") == 1, F.col("count"))).alias("count"), F.sum(F.when(F.col("nth") == 1, F.col("freq"))).alias("now"), F.avg(F.when(F.col("nth") > 1, F.col("freq"))).alias("mean"))
-    is_new = F.coalesce(F.col("mean"), F.lit(0.0)) < 0.1
-    out = agg.withColumn("is_new", is_new).withColumn("growth_rate", F.when(F.col("is_new"), F.lit(float("inf"))).otherwise(F.col("now") / F.col("mean")))
+    The years' table, a row a year, joins the counts, and one aggregate puts the years of a keyword side by side.
+    """
+    years = papers.groupBy("year").agg(F.count("*").alias("papers"))
+    last = Window.orderBy(F.desc("year"))  # a row a year
+    years = years.withColumns({"nth": F.row_number().over(last), "others": F.least(F.count("*").over(Window.partitionBy()) - 1, F.lit(compared))}).where(F.col("nth") <= compared + 1)
+    per = by_year.join(F.broadcast(years), "year")  # a row a year
+    freq = F.col("count") / F.greatest("papers", F.lit(1)).cast("double") * 1000
+    now = F.col("nth") == 1
+    agg = per.groupBy("keyword").agg(F.sum(F.when(now, F.col("count"))).alias("count"), F.sum(F.when(now, freq)).alias("now"), F.sum(F.when(~now, freq)).alias("before"), F.max("others").alias("others"))
+    agg = agg.where("count is not null").orderBy(F.desc("count"), "keyword").limit(latest_k).where(F.col("count") >= min_count)
+    mean = F.when(F.col("others") > 0, F.coalesce("before", F.lit(0.0)) / F.col("others"))
+    out = agg.withColumn("mean", F.coalesce(mean, F.lit(0.0))).withColumn("is_new", F.col("mean") < 0.1)
+    out = out.withColumn("growth_rate", F.when(F.col("is_new"), F.lit(float("inf"))).otherwise(F.col("now") / F.col("mean")))
     return out.where(F.col("growth_rate") >= min_growth).orderBy(F.desc("is_new"), F.desc("growth_rate"), F.desc("count"), "keyword").limit(k).select("keyword", "count", "is_new", "growth_rate")
 
 

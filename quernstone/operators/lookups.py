@@ -20,15 +20,20 @@ def by_tier(venues: DataFrame, **equal) -> DataFrame:
 
 
 def with_venue_names(papers: DataFrame, venues: DataFrame) -> DataFrame:
-    """papers with venue_name; a venue that is not known gives NULL. The venues, a registry, are broadcast."""
-    return papers.join(F.broadcast(venues.select("venue_id", F.col("name").alias("venue_name"))), "venue_id", "left")
+    """papers with venue_name; a venue that is not known gives NULL."""
+    return papers.join(venues.select("venue_id", F.col("name").alias("venue_name")), "venue_id", "left")
 
 
 def by_title(papers: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked..., paper_id, found): the paper of the smallest id with the asked title in any case, and year if one is asked; found is false where none is."""
-    left = asked.withColumn("title_key", X.title_key(F.col("title")))
-    right = papers.select("paper_id", X.title_key(F.col("canonical_title")).alias("title_key"), F.col("year").alias("paper_year"))
-    hit = left.join(right, "title_key").where("year is null or year = paper_year").groupBy("ask").agg(F.min("paper_id").alias("paper_id"))
+    """(asked..., paper_id, found): the paper of the smallest id with the asked title in any case, and year if one is asked; found is false where none is.
+
+    Papers are first brought to a row for each title and year, and one for each title, so that a title of very many papers meets those who ask for it as one row.
+    """
+    of_year = papers.groupBy(X.title_key(F.col("canonical_title")).alias("title_key"), F.col("year").alias("paper_year")).agg(F.min("paper_id").alias("paper_id"))
+    of_any = of_year.groupBy("title_key").agg(F.min("paper_id").alias("paper_id"))
+    right = of_year.where("paper_year is not null").unionByName(of_any.withColumn("paper_year", F.lit(None).cast(papers.schema["year"].dataType)))
+    left = asked.select("ask", X.title_key(F.col("title")).alias("title_key"), F.col("year").alias("paper_year")).distinct()
+    hit = left.join(right, (left["title_key"] == right["title_key"]) & left["paper_year"].eqNullSafe(right["paper_year"])).groupBy("ask").agg(F.min("paper_id").alias("paper_id"))
     return asked.join(hit, "ask", "left").withColumn("found", F.col("paper_id").isNotNull())
 
 
@@ -52,7 +57,7 @@ def statistics(venues: DataFrame) -> DataFrame:
 
 def explorer(venues: DataFrame, counts: DataFrame) -> DataFrame:
     """(kind, value, venues): names and paper counts of the venues of each domain (NULL: General) and tier (NULL: C), by name; counts: (name, papers)."""
-    rows = venues.join(F.broadcast(counts), "name", "left").withColumn("papers", F.coalesce("papers", F.lit(0)))
+    rows = venues.join(counts, "name", "left").withColumn("papers", F.coalesce("papers", F.lit(0)))
     item = F.struct("name", "papers")
     groups = F.array(F.struct(F.lit("domain").alias("kind"), F.coalesce("domain", F.lit("General")).alias("value")), F.struct(F.lit("tier").alias("kind"), F.coalesce("tier", F.lit("C")).alias("value")))
     return rows.select(F.explode(groups).alias("g"), item.alias("item")).groupBy("g.kind", "g.value").agg(F.array_sort(F.collect_list("item")).alias("venues"))

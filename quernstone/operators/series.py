@@ -33,7 +33,7 @@ def emerging_topics(counted: DataFrame, window: int = 4, min_growth: float = 1.5
     the keyword count as 0 from its first appearance on. Only rising keywords are kept.
     """
     enough = counted.select("category", "bucket").distinct().groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * window).select("category")
-    rows = counted.join(F.broadcast(enough), "category", "left_semi")
+    rows = counted.join(enough, "category", "left_semi")
     if dense:
         # Places of a category's buckets from the latest on: a keyword's series is as long as the place of its first bucket, so no bucket without it need be made.
         buckets = rows.select("category", "bucket").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("bucket"))))  # a row a bucket

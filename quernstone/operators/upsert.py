@@ -22,6 +22,26 @@ def upsert(current: DataFrame, new: DataFrame, key: list[str], order: list[Colum
     return last_wins(both, key, [F.col("__new"), *order]).drop("__new")
 
 
+def replaced(current: DataFrame, links: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch that replaces rows of the same key: (rows, links, changes).
+
+    current: raw_id, key, ...; links: raw_id, ...; new: seq, key, ... with seq numbers beyond all raw_id. The last row of a key in the batch is written with its
+    seq as its raw_id, also where it replaces a row, whose links go with it: they are dependants of the old id, so that the record is structured again.
+    changes: key, kind (insert or replace), raw_id, old_id, links (how many have gone). One union and one aggregate by key find all of it.
+    """
+    fields = [c for c in current.columns if c not in ("raw_id", *key)]
+    old = current.select(*key, F.struct(F.lit(0).alias("new"), F.col("raw_id").alias("id"), *fields).alias("r"))
+    both = old.unionByName(new.select(*key, F.struct(F.lit(1).alias("new"), F.col("seq").alias("id"), *fields).alias("r")))
+    is_new = F.col("r.new") == 1
+    last = both.groupBy(*key).agg(F.max_by("r", F.struct("r.new", "r.id")).alias("last"), F.max(F.when(~is_new, F.col("r.id"))).alias("old_id"), F.max(is_new).alias("touched"))
+    rows = last.select(F.col("last.id").alias("raw_id"), *key, *[F.col(f"last.{c}").alias(c) for c in fields])
+    changes = last.where("touched").select(*key, F.when(F.col("old_id").isNull(), "insert").otherwise("replace").alias("kind"), F.col("last.id").alias("raw_id"), "old_id")
+    gone = changes.where("old_id is not null").select(F.col("old_id").alias("raw_id"))
+    kept = links.join(gone, "raw_id", "left_anti")
+    per = links.join(gone, "raw_id", "left_semi").groupBy(F.col("raw_id").alias("old_id")).agg(F.count("*").alias("links"))
+    return rows, kept, changes.join(per, "old_id", "left").withColumn("links", F.coalesce("links", F.lit(0)).cast("bigint"))
+
+
 def first_wins(current: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """current and the first of new's rows for each key that it has not."""
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

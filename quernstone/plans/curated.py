@@ -209,22 +209,22 @@ def feed_named_venues(spark, sf_dir):
     return feeds.named_venues(A.venues(spark, sf_dir), "00001").select("name")
 
 
-@query("""WITH r AS (SELECT o_custkey % 40 AS venue, o_orderpriority AS invitation, o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 END AS k FROM orders WHERE o_orderkey % 5 = 0), m AS (SELECT venue, min(k) AS k FROM r GROUP BY venue)
+@query("""WITH r AS (SELECT o_custkey % 40 AS venue, o_orderpriority AS invitation, o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 END AS k FROM orders), m AS (SELECT venue, min(k) AS k FROM r GROUP BY venue)
     SELECT venue, invitation, count(*) AS submissions FROM r JOIN m USING (venue, k) GROUP BY ALL""")
 def feed_with_fallback(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 40).alias("venue"), F.col("o_orderpriority").alias("invitation"), F.col("o_orderkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("venue"), F.col("o_orderpriority").alias("invitation"), F.col("o_orderkey").alias("id"))
     return feeds.with_fallback(o, ["1-URGENT", "3-MEDIUM"]).groupBy("venue", "invitation").agg(F.count("*").alias("submissions"))
 
 
 # ------------------------------------------------------------ keywords of batches and buckets
 
 
-@query(f"""WITH {SQL_PK}, n AS (SELECT l_orderkey AS paper_id, '  ' || upper(p_name) || ' ' AS raw, 'R' AS method, 2.0::DOUBLE AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+@query(f"""WITH {SQL_PK}, n AS (SELECT l_orderkey AS paper_id, '  ' || upper(p_name) || ' ' AS raw, 'R' AS method, 2.0::DOUBLE AS score FROM lineitem JOIN part ON l_partkey = p_partkey),
     u AS (SELECT paper_id, lower(trim(raw)) AS keyword, method, score, 1 AS w FROM n UNION ALL SELECT paper_id, keyword, method, score::DOUBLE, 0 FROM pk), r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, keyword, method ORDER BY w DESC, score DESC) AS i FROM u)
     SELECT method, count(*) AS keywords, count(*) FILTER (score = 2) AS replaced FROM r WHERE i = 1 GROUP BY method""")
 def put_keywords(spark, sf_dir):
     pk = A.paper_keywords(spark, sf_dir).withColumn("score", F.col("score").cast("double"))
-    new = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("paper_id"), F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("keyword"), F.lit("R").alias("method"), F.lit(2.0).alias("score"))
+    new = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("paper_id"), F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("keyword"), F.lit("R").alias("method"), F.lit(2.0).alias("score"))
     return B.put_keywords(pk, new).groupBy("method").agg(F.count("*").alias("keywords"), F.count_if(F.col("score") == 2).alias("replaced"))
 
 
@@ -265,11 +265,12 @@ def bucket_keyword_phrases(spark, sf_dir):
     return E.tiered([E.phrase_tier(papers, 10), E.token_tier(papers)], 10, ("bucket",))
 
 
-@query(f"WITH {SQL_SUB} SELECT raw_id AS ask, (SELECT min(o.raw_id) FROM sub o WHERE lower(trim(regexp_replace(o.title, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(sub.title, '\\s+', ' ', 'g'))) AND o.raw_id % 2 = 0 AND (sub.year IS NULL OR sub.year = o.year)) AS paper_id FROM sub WHERE raw_id % 10 = 0")
+@query(f"""WITH {SQL_SUB}, p AS (SELECT raw_id, year, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS k FROM sub), y AS (SELECT k, year, min(raw_id) AS id FROM p GROUP BY k, year), t AS (SELECT k, min(raw_id) AS id FROM p GROUP BY k)
+    SELECT raw_id AS ask, CASE WHEN p.year IS NULL THEN t.id ELSE y.id END AS paper_id FROM p LEFT JOIN y ON y.k = p.k AND y.year = p.year LEFT JOIN t ON t.k = p.k""")
 def title_lookup(spark, sf_dir):
     rows = A.submissions(spark, sf_dir)
-    papers = rows.where("raw_id % 2 = 0").select(F.col("raw_id").alias("paper_id"), F.col("title").alias("canonical_title"), "year")
-    return L.by_title(papers, rows.where("raw_id % 10 = 0").select(F.col("raw_id").alias("ask"), "title", "year")).select("ask", "paper_id")
+    papers = rows.select(F.col("raw_id").alias("paper_id"), F.col("title").alias("canonical_title"), "year")
+    return L.by_title(papers, rows.select(F.col("raw_id").alias("ask"), "title", "year")).select("ask", "paper_id")
 
 
 @query(f"""WITH {SQL_COMMENTED}, o AS (SELECT raw_id, CASE WHEN raw_id % 4 > 0 THEN comments END AS venue FROM com), v AS (SELECT DISTINCT venue FROM o WHERE venue <> '')

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from quernstone.plans import corpus, curated, keywords, paged, phrases, series, serving  # noqa: E402, F401
+from quernstone.plans import changes, corpus, curated, keywords, paged, phrases, reads, series, serving  # noqa: E402, F401

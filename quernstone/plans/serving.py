@@ -17,6 +17,7 @@ from quernstone.plans import adapters as A
 from quernstone.plans.adapters import SQL_EVENTS, SQL_KP, SQL_PAPERS, SQL_PK, SQL_SOURCES, SQL_SUB, SQL_VENUES
 from quernstone.plans.corpus import _venue_ids_sql, venue_id_parse
 from quernstone.plans.keywords import _GRID, _RANKS, _rows
+from quernstone.plans.keywords import _emerging_sql
 from quernstone.plans.registry import query
 from quernstone.plans.series import _BUCKETED, _topics_sql, _weekly
 from quernstone.sources import feeds
@@ -242,27 +243,33 @@ def chart_trend_lines(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_KP}, v AS (SELECT venue, year, count(*) AS papers FROM papers GROUP BY ALL), r AS (SELECT venue, year, keyword, count(*) AS c, {_RANKS} FROM kp GROUP BY venue, year, keyword), w AS (SELECT keyword, count(*) AS c FROM kp GROUP BY keyword ORDER BY c DESC, keyword LIMIT 20)
-    SELECT 'venue' AS part, venue || ' ' || v.year AS name, papers AS n, (SELECT string_agg(keyword, '|' ORDER BY rank) FROM r WHERE r.venue = v.venue AND r.year = v.year AND rank <= 20) AS keywords FROM v UNION ALL SELECT 'overall', keyword, c, NULL FROM w UNION ALL SELECT 'trend', keyword || ' ' || year, count(*), NULL FROM kp WHERE keyword IN (SELECT keyword FROM w) GROUP BY keyword, year""")
+    SELECT 'venue' AS part, venue || ' ' || v.year AS name, papers AS n, (SELECT string_agg(keyword, '|' ORDER BY rank) FROM r WHERE r.venue = v.venue AND r.year = v.year AND rank <= 20) AS keywords FROM v UNION ALL SELECT 'overall', keyword, c, NULL FROM w UNION ALL SELECT 'trend', keyword || ' ' || year, count(*), NULL FROM kp WHERE keyword IN (SELECT keyword FROM w) GROUP BY keyword, year UNION ALL SELECT 'emerging', keyword, count, NULL FROM ({_emerging_sql(1.05, "SELECT keyword, count FROM top")})""")
 def analysis_result(spark, sf_dir):
-    """The full result: venues by year with their first keywords, the most frequent keywords, and these keywords' trends."""
-    rows = _rows(spark, sf_dir)
-    ranks = K.ranked(K.counts(rows, "venue", "year"), ["venue", "year"], 20)
+    """The full result from one cube: venues by year with their first keywords, the most frequent keywords, these keywords' trends, and emerging keywords."""
+    papers = A.papers(spark, sf_dir)
+    cubed = K.cube(_rows(spark, sf_dir))
+    by_year = K.of_level(cubed, K.BY_YEAR).select("year", "keyword", "count")
+    ranks = K.ranked(K.of_level(cubed, K.BY_VENUE_YEAR), ["venue", "year"], 20)
     words = ranks.groupBy("venue", "year").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]), "|").alias("keywords"))
-    venues = A.papers(spark, sf_dir).groupBy("venue", "year").agg(F.count("*").alias("n")).join(words, ["venue", "year"], "left")
-    top = K.top(rows, 20)
-    trends = K.yearly(rows.join(F.broadcast(top.select("keyword")), "keyword", "left_semi"))
+    venues = papers.groupBy("venue", "year").agg(F.count("*").alias("n")).join(words, ["venue", "year"], "left")
+    top = K.of_level(cubed, K.OVERALL).orderBy(F.desc("count"), "keyword").limit(20).select("keyword", "count")
+    trends = by_year.join(top.select("keyword"), "keyword", "left_semi")
+    rising = K.emerging_of(by_year, papers, min_growth=1.05)
     none = F.lit(None).cast("string").alias("keywords")
-    parts = [venues.select(F.lit("venue").alias("part"), F.concat_ws(" ", "venue", F.col("year").cast("string")).alias("name"), "n", "keywords"), top.select(F.lit("overall").alias("part"), F.col("keyword").alias("name"), F.col("count").alias("n"), none), trends.select(F.lit("trend").alias("part"), F.concat_ws(" ", "keyword", F.col("year").cast("string")).alias("name"), F.col("count").alias("n"), none)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    part = lambda rows, name, label: rows.select(F.lit(name).alias("part"), label.alias("name"), F.col("count").alias("n"), none)
+    out = venues.select(F.lit("venue").alias("part"), F.concat_ws(" ", "venue", F.col("year").cast("string")).alias("name"), "n", "keywords")
+    for more in (part(top, "overall", F.col("keyword")), part(trends, "trend", F.concat_ws(" ", "keyword", F.col("year").cast("string"))), part(rising, "emerging", F.col("keyword"))):
+        out = out.unionByName(more)
+    return out
 
 
 # ------------------------------------------------------------ functions and set operations
 
 
-@query(f"WITH {SQL_PK}, a AS (SELECT DISTINCT keyword FROM pk WHERE method = 'A'), r AS (SELECT DISTINCT keyword FROM pk WHERE method = 'R' AND paper_id % 4 = 0) SELECT 'both' AS part, count(*) AS keywords FROM (FROM a INTERSECT FROM r) UNION ALL SELECT 'any', count(*) FROM (FROM a UNION FROM r) UNION ALL SELECT 'only', count(*) FROM (FROM a EXCEPT FROM r)")
+@query(f"WITH {SQL_PK}, a AS (SELECT DISTINCT keyword FROM pk WHERE method = 'A'), r AS (SELECT DISTINCT keyword FROM pk WHERE method = 'R') SELECT 'both' AS part, count(*) AS keywords FROM (FROM a INTERSECT FROM r) UNION ALL SELECT 'any', count(*) FROM (FROM a UNION FROM r) UNION ALL SELECT 'only', count(*) FROM (FROM a EXCEPT FROM r)")
 def keyword_sets(spark, sf_dir):
     pk = A.paper_keywords(spark, sf_dir)
-    a, r = pk.where("method = 'A'").select("keyword"), pk.where("method = 'R' and paper_id % 4 = 0").select("keyword")
+    a, r = pk.where("method = 'A'").select("keyword"), pk.where("method = 'R'").select("keyword")
     n = lambda df, part: df.agg(F.count("*").alias("keywords")).select(F.lit(part).alias("part"), "keywords")
     return n(a.intersect(r), "both").unionByName(n(a.union(r).distinct(), "any")).unionByName(n(a.subtract(r), "only"))
 
@@ -273,11 +280,11 @@ def keyword_forms(spark, sf_dir):
     return p.select(F.col("p_name").alias("keyword"), X.legacy_keyword(F.col("p_name")).alias("legacy"), X.singular(F.concat("p_name", F.lit("ss"))).alias("singular"), X.paper_url(F.lit("https://site.org/abs/"), F.col("p_partkey")).alias("url"))
 
 
-@query(f"WITH {SQL_PK}, m AS (SELECT paper_id, max(score) AS m FROM pk GROUP BY paper_id) SELECT paper_id, keyword, method, round(1 - score / (m + 1e-10), 6)::DOUBLE AS relevance FROM pk JOIN m USING (paper_id) WHERE paper_id % 50 = 0")
+@query(f"WITH {SQL_PK}, m AS (SELECT paper_id, max(score) AS m FROM pk GROUP BY paper_id) SELECT paper_id, keyword, method, round(1 - score / (m + 1e-10), 6)::DOUBLE AS relevance FROM pk JOIN m USING (paper_id)")
 def inverted_scores(spark, sf_dir):
     from quernstone.operators.extract import invert_scores
 
-    pk = A.paper_keywords(spark, sf_dir).where("paper_id % 50 = 0").withColumn("score", F.col("score").cast("double"))
+    pk = A.paper_keywords(spark, sf_dir).withColumn("score", F.col("score").cast("double"))
     per = pk.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("keyword", "method", "score"))).alias("items"))
     scores = per.withColumn("s", F.transform("items", lambda x: x["score"])).withColumn("inv", invert_scores(F.col("s")))
     each = scores.select("paper_id", F.explode(F.arrays_zip("items", "inv")).alias("x"))
