@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe object video audio canvas svg math datalist param source track area map title".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe object video audio canvas svg annotation annotation-xml datalist param source track area title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table textarea ul caption tr thead tbody tfoot".split()
 )
@@ -297,7 +297,7 @@ def run(node: Node, page: _Page) -> None:
         elif (tag := item.tag) in VOID:
             _void(item, to)
         elif visible(item):
-            waiting.append(_children(item, to) if tag not in BLOCK else _block(item, to))
+            waiting.append(_block(item, to) if tag in BLOCK else _apart(item, to) if to.flat and tag in ("td", "th") else _children(item, to))
 
 
 def _children(node: Node, page: _Page):
@@ -305,6 +305,13 @@ def _children(node: Node, page: _Page):
         yield child, page
 
 
+def _apart(node: Node, page: _Page):
+    """A cell of a table that has no grid: its words touch no neighbour's."""
+    page.inline.append(" ")
+    yield from _children(node, page)
+    page.inline.append(" ")
+
+
 def _void(node: Node, page: _Page) -> None:
     if visible(node):
         if node.tag == "br" and _SPACES.sub("", "".join(page.inline)):

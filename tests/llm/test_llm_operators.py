@@ -306,6 +306,18 @@ def test_rendering(page, text):
     assert op04_html.render(page)[1].strip() == text.strip()
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td>outer<table><tr><td>aa<td>b<tr><td>c<th>d</table>", "outer aa b c d"),
+        ("<table><tr><td><table><tr><td>a<td><b>b</b>c</table>x<td>y", "a bc x  y"),
+        ("E = <math><mi>m</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> and <map name=x>text<area></map>.", "E = m+1 and text."),
+    ],
+)
+def test_words_of_cells_stay_apart_and_what_a_page_shows_is_kept(page, text):
+    assert op04_html.render(page)[1] == text
+
+
 def test_rendering_survives_depth():
     assert op04_html.render("<div>" * 50_000 + "x")[1] == "x"
     assert op04_html.render("<table><tr><td>" * 3_000 + "x")[1] == "x"
