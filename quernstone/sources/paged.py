@@ -35,15 +35,29 @@ from quernstone.operators.numbering import placed
 #: Rows of a request at most where the feed is asked for a range, as the feed states it.
 MOST_RESULTS = 2_000
 FIRST = "start"
+#: Pages, and records, of one file at most: a file a page would be more files than a folder or its writer can take.
+BUNDLE_PAGES, BUNDLE_RECORDS = 256, 20_000
 
 # ---------------------------------------------------------------- where pages come from
 
 
+def bundle(n: int, size: int) -> int:
+    """The bundle of page number n of `size` records."""
+    return n // bundled(size)
+
+
+def bundled(size: int) -> int:
+    """Pages of a bundle, so that neither files nor their records are too many."""
+    return max(1, min(BUNDLE_PAGES, BUNDLE_RECORDS // size))
+
+
 class Folder:
-    """Pages as text files under request=<request>/key=<page>."""
+    """Pages as text files under request=<request>/key=<page>, or many pages a file under request=<request>/bundle=<number>, a line of <page>, a tab
+    and its text each. Of these a token ends in "-<number>", pages with numbers are `size` records each, and the first page is in number 0."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, paging: str = "token", size: int = 100):
+        self.root, self.paging, self.size = root, paging, size
+        self.held: tuple | None = None
 
     def _at(self):
         from pyarrow import fs
@@ -51,12 +65,31 @@ class Folder:
         files, path = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
         return fs, files, path
 
+    def _files(self, folder: str) -> list:
+        fs, files, _ = self._at()
+        found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        return sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+
+    def _text(self, found: list) -> str:
+        files = self._at()[1]
+        return "".join(files.open_input_stream(f.path).read().decode() for f in found)
+
+    def _number(self, key: str) -> str:
+        if key == FIRST:
+            return "0"
+        return str(bundle(int(key), self.size)) if self.paging == "offset" else key.rpartition("-")[2]
+
     def get(self, request: str, key: str) -> dict | None:
         """The page, or None where there is none."""
-        fs, files, path = self._at()
-        folder = f"{path}/request={escaped(request)}/key={escaped(key)}"
-        found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        text = "".join(files.open_input_stream(f.path).read().decode() for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", ".")))
+        folder = f"{self._at()[2]}/request={escaped(request)}"
+        text = self._text(self._files(f"{folder}/key={escaped(key)}"))
+        if not text.strip():
+            found = self._files(f"{folder}/bundle={escaped(self._number(key))}")
+            sign = [(f.path, f.size, f.mtime_ns) for f in found]
+            if self.held is None or self.held[0] != sign:
+                lines = [line.partition("\t") for line in self._text(found).split("\n") if line.strip()]
+                self.held = sign, {k if tab else FIRST: page if tab else k for k, tab, page in lines}
+            text = self.held[1].get(key, "")
         return json.loads(text) if text.strip() else None
 
 
@@ -145,7 +178,7 @@ class Feed:
         self.start = int(options.get("start", "0"))
         self.results = int(options["results"]) if "results" in options else None
         self.pages_each = int(options.get("pages_each", "4"))
-        self.pages = Http(options["address"], float(options.get("delay", "0"))) if "address" in options else Folder(options["path"])
+        self.pages = Http(options["address"], float(options.get("delay", "0"))) if "address" in options else Folder(options["path"], self.paging, self.size)
 
     def chosen(self, request: str) -> tuple[str, dict | None]:
         """The first alternative that has any record, and its first page; the first alternative if none has."""
@@ -353,19 +386,23 @@ def submissions(spark: SparkSession, venues: list[str], start: int = 0, limit: i
 
 
 def land(records: DataFrame, path: str, order: list[Column | str], size: int = 100, paging: str = "token", request: str = "request") -> None:
-    """Writes records as the pages of a feed: `request` says whose pages, the other columns are the record. A page has `size` records."""
+    """Writes records as the pages of a feed: `request` says whose pages, the other columns are the record. A page has `size` records, a file many pages."""
     fields = [c for c in records.columns if c != request]
     rows = placed(records.where(F.col(request).isNotNull()), request, order)
     rows = rows.select(request, F.floor(F.col("place") / size).cast("bigint").alias("n"), "place", F.to_json(F.struct(*fields)).alias("record"))
     pages = rows.groupBy(request, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "record"))), lambda r: r["record"]).alias("data"))
     totals = rows.groupBy(request).agg(F.count("*").alias("total"))
 
+    def file(n: Column) -> Column:
+        return F.floor(n / bundled(size)).cast("bigint")
+
     def key(n: Column) -> Column:
         opaque = F.when(n == 0, F.lit(FIRST)).otherwise(F.substring(F.sha2(F.concat_ws("/", request, n.cast("string")).cast("binary"), 256), 1, 16))
+        opaque = F.when(n == 0, opaque).otherwise(F.concat(opaque, F.lit("-"), file(n).cast("string")))
         return opaque if paging == "token" else n.cast("string")
 
     follows = F.when((F.col("n") + 1) * size < F.col("total"), key(F.col("n") + 1))
     token = F.coalesce(F.concat(F.lit('"'), follows, F.lit('"')), F.lit("null"))
     text = F.concat(F.lit('{"total": '), F.col("total").cast("string"), F.lit(', "token": '), token, F.lit(', "data": ['), F.array_join("data", ", "), F.lit("]}"))
-    out = pages.join(totals, request).select(F.col(request).alias("request"), key(F.col("n")).alias("key"), text.alias("value"))
-    out.repartition("request", "key").write.mode("append").partitionBy("request", "key").text(path)
+    out = pages.join(totals, request).select(F.col(request).alias("request"), file(F.col("n")).alias("bundle"), F.concat(key(F.col("n")), F.lit("\t"), text).alias("value"))
+    out.repartition("request", "bundle").write.mode("append").partitionBy("request", "bundle").text(path)

@@ -180,3 +180,12 @@ def test_pages_over_http(spark):
     finally:
         server.shutdown()
     assert sorted(r.id for r in got if r.request == "a") == list(range(15)) == sorted(r.id for r in got if r.request == "b") and len(got) == 30
+
+
+@pytest.mark.parametrize("paging", ["token", "offset"])
+def test_many_pages_share_a_file(spark, tmp_path, paging):
+    path = str(tmp_path / "pages")
+    paged.land(records(spark, 3000), path, ["id"], size=1, paging=paging)
+    assert len(list((tmp_path / "pages").glob("*/*/part*"))) == 12  # 1,000 pages a request, 256 a file
+    got = paged.read(spark, asked(), paging, SCHEMA, path=path, page_size="1", pages_each="100")
+    assert sorted(tuple(r) for r in got.collect()) == want(3000)
