@@ -7,8 +7,8 @@ holds bit p of 64 fingerprints in each word, carry-save counters add the differi
 returns a spanning forest of its links, never all pairs; components are joined across buckets.
 
 The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its buckets are bands of least
-hashes, which lose no pair at 0.8 that matters; within a bucket SimHash fingerprints of two lanes are compared by bit planes, as above, and
-what lies within the radius is decided by the exact similarity.
+hashes, which lose no pair at 0.8 that matters; within a bucket SimHash fingerprints of two lanes are compared by bit planes, as above, in every
+round, and only what lies within the radius is decided by the exact similarity.
 
 Defined results: a NULL or wordless text has fingerprint zero and links like any other; a NULL doc_id
 gets its component like other rows, but never names one unless all are NULL; repeated rows share a
@@ -425,14 +425,26 @@ def with_lanes(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, text string, " + ", ".join(f"{x} bigint" for x in names))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
-    """The (a, b) of `pairs` whose texts' sets of shingles have a Jaccard similarity of `similarity` hundredths or more; texts: (node, text)."""
-    both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+def alike(pairs: DataFrame, texts: DataFrame, similarity: int = STAGE_SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
+    """The (a, b) of `pairs` whose fingerprints lie within the radius and whose texts' sets of shingles have a Jaccard similarity of `similarity`
+    hundredths or more; texts: (node, text, lanes).
+
+    The planes hold the differences of 64 pairs in each word; the sets of shingles are made of the pairs that are left.
+    """
+    lanes = range(STAGE_LANES)
+    end = lambda node, text: texts.select(F.col("node").alias(node), F.col("text").alias(text), *[F.col(f"lane{i}").alias(f"{text}{i}") for i in lanes])
+    both = pairs.select("a", "b").join(end("a", "x"), "a").join(end("b", "y"), "b")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            side = lambda c: np.stack([batch.column(f"{c}{i}").to_numpy() for i in lanes], axis=1).view(np.uint64)
+            differ = side("x") ^ side("y")
+            near = _unpack(within(np.zeros((1, STAGE_LANES), np.uint64), planes(differ), radius, _mask(len(differ))), len(differ))[0]
+            batch = batch.filter(pa.array(near))
+            if not batch.num_rows:
+                continue
             x, y = text_bytes(batch.column(2)), text_bytes(batch.column(3))
             keep = np.zeros(batch.num_rows, bool)
             for a, b in chunks(x[1] + y[1]):
@@ -445,7 +457,7 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: int = STAGE_SIMILARITY
                 keep[a:b] = 100 * common >= similarity * either
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y", *[f"{c}{i}" for c in "xy" for i in lanes]).mapInArrow(run, "a bigint, b bigint")
 
 
 def cell_forest(root: np.ndarray, lanes: np.ndarray, data: np.ndarray, offsets: np.ndarray, similarity: int, radius: int) -> list[tuple[int, int]]:

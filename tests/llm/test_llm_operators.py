@@ -980,3 +980,13 @@ def test_pipeline_stages(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == seen
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pairs_beyond_the_radius_are_not_linked_by_the_similarity_alone(spark):
+    """Fingerprints are compared in every round: of two pairs of like texts the one whose fingerprints are far apart is left out."""
+    base = prose(200, 78)
+    rows = op06_simhash.with_lanes(spark.createDataFrame([(i, base + f" end{i}") for i in range(4)], "node bigint, text string"))
+    far = rows.withColumns({c: F.when(F.col("node") == 3, F.bitwise_not(c)).otherwise(F.col(c)) for c in ("lane0", "lane1")})
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "a bigint, b bigint")
+    assert sorted(map(tuple, op06_simhash.alike(pairs, rows).collect())) == [(0, 1), (2, 3)]
+    assert sorted(map(tuple, op06_simhash.alike(pairs, far).collect())) == [(0, 1)]
