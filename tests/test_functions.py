@@ -78,3 +78,14 @@ def test_phrases(extractor):
     assert found and all(isinstance(k, str) and -1e-9 <= s <= 1 for k, s in found)
     assert extractor("") == [] and extractor("the and or") == []
     assert extractor(text) == found
+
+
+def test_embedded_phrases_look_closely_at_few(monkeypatch):
+    """Of a long text's thousands of phrases only those near the best are embedded one by one."""
+    import random
+
+    rng, calls, embed = random.Random(3), [], U._embed
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(3000))
+    monkeypatch.setattr(U, "_embed", lambda s, size: calls.append(s) or embed(s, size))
+    assert len(U.embedded_phrases(text)) == 10
+    assert len(calls) < 200
