@@ -21,17 +21,3 @@ def placed(rows: DataFrame, by: str, order: list[Column | str]) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(by, "_p", "_first", before.alias("_before"))  # a row a task and group
     return rows.join(runs, [by, "_p"]).withColumn("place", F.col("_before") + inner - F.col("_first")).drop("_p", "_m", "_first", "_before")
-
-
-def summed(rows: DataFrame, by: str, order: str, n: str) -> DataFrame:
-    """rows with `before`, the sum of `n` over the rows before it within `by`, in order; (by, order) is unique.
-
-    Sums run within each task of a sort over all tasks, and what stands before its rows comes from a sum per task and group.
-    """
-    rows = rows.repartitionByRange(by, F.col(order).asc_nulls_last()).withColumn("_p", F.spark_partition_id())
-    rows = written(rows, "summed")
-    runs = rows.groupBy(by, "_p").agg(F.sum(n).alias("_n"))
-    up_to = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(by, "_p", F.coalesce(F.sum("_n").over(up_to(by).orderBy("_p")), F.lit(0)).alias("_before"))  # a row a task and group
-    within = F.coalesce(F.sum(n).over(up_to(by, "_p").orderBy(F.col(order).asc_nulls_last())), F.lit(0))
-    return rows.withColumn("_within", within).join(runs, [by, "_p"]).withColumn("before", F.col("_before") + F.col("_within")).drop("_p", "_before", "_within")
